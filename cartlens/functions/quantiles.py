@@ -34,14 +34,16 @@ def exact_quantiles(
 
     def sketch(name: str):
         col = F.col(name).cast("double")
+        # A bracket must also cover the neighbouring rank; in a group this small it is not worth having.
+        few = F.count(col) < F.lit(int(8 / slack))
         # Sums recomputed in another order differ in the last bits; the bracket must not be that tight.
         margin = F.lit(1e-9) * (F.max(F.abs(col)))
         approx = F.percentile_approx(col, F.array(*[F.lit(m) for m in marks]), F.lit(accuracy))
         brackets = [
             F.struct(
                 F.lit(float(p)).alias("prob"),
-                ((F.min(col) if marks[2 * i] <= 0.0 else approx[2 * i]) - margin).alias("lo"),
-                ((F.max(col) if marks[2 * i + 1] >= 1.0 else approx[2 * i + 1]) + margin).alias("hi"),
+                (F.when(few | F.lit(marks[2 * i] <= 0.0), F.min(col)).otherwise(approx[2 * i]) - margin).alias("lo"),
+                (F.when(few | F.lit(marks[2 * i + 1] >= 1.0), F.max(col)).otherwise(approx[2 * i + 1]) + margin).alias("hi"),
                 F.count(col).alias("n"),
             )
             for i, p in enumerate(probs)
