@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["quality", "features", "overview"]
+MODULES = ["quality", "features", "overview", "clusters"]
 
 
 def load_catalog():
