@@ -95,7 +95,7 @@ def _silhouette_sql(pair_distances: str) -> str:
     "silhouette",
     "WITH " + _silhouette_sql(
         "pd AS (SELECT a.vec_id AS a, a.label AS la, b.label AS lb, "
-        "SQRT(list_sum(list_transform(list_zip(a.embedding, b.embedding), x -> (x[1]::DOUBLE - x[2]) * (x[1]::DOUBLE - x[2])))) AS d "
+        "SQRT(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]) * (x[1]::DOUBLE - x[2])))) AS d "
         "FROM embeddings a, embeddings b)"
     ),
 )
@@ -119,11 +119,11 @@ def silhouette_customers(spark, sf_dir):
     "adjusted_rand",
     f"""WITH {NEAREST_SQL},
     t AS (SELECT grp AS a, cluster AS b, COUNT(*) AS n FROM nearest GROUP BY 1, 2),
-    s AS (SELECT (SELECT SUM(n * (n - 1) / 2.0) FROM t) AS same,
+    ari AS (SELECT (SELECT SUM(n * (n - 1) / 2.0) FROM t) AS same,
       (SELECT SUM(m * (m - 1) / 2.0) FROM (SELECT SUM(n) AS m FROM t GROUP BY a)) AS pa,
       (SELECT SUM(m * (m - 1) / 2.0) FROM (SELECT SUM(n) AS m FROM t GROUP BY b)) AS pb,
       (SELECT SUM(n) * (SUM(n) - 1) / 2.0 FROM t) AS tot)
-    SELECT ROUND((same - pa * pb / tot) / ((pa + pb) / 2 - pa * pb / tot), 6) AS adjusted_rand FROM s""",
+    SELECT ROUND((same - pa * pb / tot) / ((pa + pb) / 2 - pa * pb / tot), 6) AS adjusted_rand FROM ari""",
 )
 def adjusted_rand(spark, sf_dir):
     return rounded(cq.adjusted_rand(nearest(spark, sf_dir), "segment", "cluster"), adjusted_rand=6)

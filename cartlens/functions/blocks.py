@@ -33,20 +33,16 @@ def _space_key(points: DataFrame, d: int, bits: int = 7) -> Column:
     """Interleaved bits of the first eight coordinates: near points get near keys."""
     used = min(d, 8)
     limits = points.agg(
-        F.struct(
-            *[
-                F.struct(F.min(F.col("features")[i]).alias("lo"), F.max(F.col("features")[i]).alias("hi")).alias(f"c{i}")
-                for i in range(used)
-            ]
-        ).alias("l")
-    ).scalar()
+        *[F.min(F.col("features")[i]).alias(f"lo{i}") for i in range(used)],
+        *[F.max(F.col("features")[i]).alias(f"hi{i}") for i in range(used)],
+    ).head()
     top = (1 << bits) - 1
     key = F.lit(0).cast("long")
     for i in range(used):
-        lo, hi = limits[f"c{i}"]["lo"], limits[f"c{i}"]["hi"]
-        cell = F.coalesce(
-            F.floor(F.try_divide((F.col("features")[i] - lo) * top, hi - lo)).cast("long"), F.lit(0).cast("long")
-        )
+        lo, hi = limits[f"lo{i}"], limits[f"hi{i}"]
+        if lo is None or hi <= lo:
+            continue
+        cell = F.floor((F.col("features")[i] - lo) * (top / (hi - lo))).cast("long")
         for b in range(bits):
             key = key.bitwiseOR(F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1).cast("long")), b * used + i))
     return key

@@ -38,27 +38,18 @@ def iqr_bounds(rfm: DataFrame, features: Sequence[str] = CLUSTERING_FEATURES) ->
 def iqr_outlier_filter(rfm: DataFrame, features: Sequence[str] = CLUSTERING_FEATURES) -> DataFrame:
     """Customers with every feature inside its fences; a NULL feature does not disqualify.
 
-    The fences come in as a scalar subquery over one row: no join, no shuffle of the customers.
+    The fences are fitted first (two numbers per feature) and enter the filter as literals, so the
+    filter itself is one narrow pass.
     """
-    table = quantile_table(rfm, features, [0.25, 0.75])
-    fences = table.select(
-        F.struct(
-            *[
-                F.struct(
-                    (F.col(lo) - FENCE * (F.col(hi) - F.col(lo))).alias("lower"),
-                    (F.col(hi) + FENCE * (F.col(hi) - F.col(lo))).alias("upper"),
-                ).alias(c)
-                for c in features
-                for lo, hi in [(quantile_name(c, 0.25), quantile_name(c, 0.75))]
-            ]
-        ).alias("fences")
-    ).scalar()
+    table = quantile_table(rfm, features, [0.25, 0.75]).head()
     keep = F.lit(True)
-    marked = rfm.withColumn("_fences", fences)
     for c in features:
-        outside = (F.col(c) < F.col(f"_fences.{c}.lower")) | (F.col(c) > F.col(f"_fences.{c}.upper"))
+        q1, q3 = table[quantile_name(c, 0.25)], table[quantile_name(c, 0.75)]
+        if q1 is None:
+            continue
+        outside = (F.col(c) < q1 - FENCE * (q3 - q1)) | (F.col(c) > q3 + FENCE * (q3 - q1))
         keep = keep & ~F.coalesce(outside, F.lit(False))
-    return marked.filter(keep).drop("_fences")
+    return rfm.filter(keep)
 
 
 def outlier_stats(rfm: DataFrame, features: Sequence[str] = CLUSTERING_FEATURES) -> DataFrame:
@@ -87,26 +78,20 @@ def scaling_stats(rfm: DataFrame, features: Sequence[str] = CLUSTERING_FEATURES)
 
 
 def standardize(rfm: DataFrame, features: Sequence[str] = CLUSTERING_FEATURES) -> DataFrame:
-    """``rfm`` with each feature as a population z-score; a constant feature becomes 0."""
+    """``rfm`` with each feature as a population z-score; a constant feature becomes 0.
+
+    Mean and deviation are fitted in one aggregate and enter the projection as literals.
+    """
     stats = rfm.agg(
-        F.struct(
-            *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in features]
-        ).alias("stats")
-    ).scalar()
-    marked = rfm.withColumn("_stats", stats)
+        *[F.avg(c).alias(f"{c}_mean") for c in features], *[F.stddev_pop(c).alias(f"{c}_std") for c in features]
+    ).head()
+    scaled = {}
     for c in features:
-        z = F.when(
-            F.col(c).isNotNull(),
-            F.coalesce(
-                F.try_divide(
-                    F.col(c) - F.col(f"_stats.{c}.mean"),
-                    F.when(F.col(f"_stats.{c}.std") > 1e-12 * F.abs(F.col(f"_stats.{c}.mean")), F.col(f"_stats.{c}.std")),
-                ),
-                F.lit(0.0),
-            ),
-        )
-        marked = marked.withColumn(c, z)
-    return marked.drop("_stats")
+        mean, std = stats[f"{c}_mean"], stats[f"{c}_std"]
+        constant = std is None or std <= 1e-12 * abs(mean)
+        z = F.lit(0.0) if constant else (F.col(c) - F.lit(mean)) / F.lit(std)
+        scaled[c] = F.when(F.col(c).isNotNull(), z)
+    return rfm.withColumns(scaled)
 
 
 def prepare_clustering(
