@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["quality", "features", "overview", "clusters"]
+MODULES = ["quality", "features", "overview", "clusters", "baskets"]
 
 
 def load_catalog():
