@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["quality", "features", "overview", "clusters", "baskets"]
+MODULES = ["quality", "features", "overview", "clusters", "baskets", "business"]
 
 
 def load_catalog():
