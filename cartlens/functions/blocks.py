@@ -14,12 +14,16 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import cartlens
 from cartlens.session import checkpointed
 
+# The task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(cartlens)
+
 BLOCK_ROWS = 2048
 BLOCK_SCHEMA = "block long, n int, ids array<string>, x binary, tags binary, lo array<double>, hi array<double>"
 

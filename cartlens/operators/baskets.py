@@ -199,7 +199,7 @@ def rule_metrics(rules: DataFrame) -> DataFrame:
     conf = F.col("confidence")
     return (
         rules.withColumn("confidence", s / a)
-        .withColumn("lift", s / (a * c))
+        .withColumn("lift", conf / c)
         .withColumn("representativity", F.lit(1.0))
         .withColumn("leverage", s - a * c)
         .withColumn("conviction", F.when(conf >= 1, F.lit(float("inf"))).otherwise(F.try_divide(1 - c, 1 - conf)))
