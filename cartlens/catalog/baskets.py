@@ -381,8 +381,12 @@ def product_category_map(spark, sf_dir):
 
 
 CATEGORY_SQL = f"""{rules_sql(*NAMES)}, {MAP_SQL},
-cats AS (SELECT r.*, ca.category AS antecedent_categories, cc.category AS consequent_categories
-  FROM rules r JOIN pmap ca ON ca.item = antecedents[1] JOIN pmap cc ON cc.item = consequents[1])"""
+ua AS (SELECT atext, ctext, LIST_SORT(LIST_DISTINCT(LIST(category))) AS la
+  FROM (SELECT atext, ctext, UNNEST(antecedents) AS item FROM rules) JOIN pmap USING (item) GROUP BY 1, 2),
+uc AS (SELECT atext, ctext, LIST_SORT(LIST_DISTINCT(LIST(category))) AS lc
+  FROM (SELECT atext, ctext, UNNEST(consequents) AS item FROM rules) JOIN pmap USING (item) GROUP BY 1, 2),
+cats AS (SELECT r.*, la, lc, ARRAY_TO_STRING(la, ', ') AS antecedent_categories, ARRAY_TO_STRING(lc, ', ') AS consequent_categories
+  FROM rules r JOIN ua USING (atext, ctext) JOIN uc USING (atext, ctext))"""
 
 
 def _categorised(spark, sf_dir):
@@ -407,7 +411,7 @@ def rule_categories(spark, sf_dir):
 
 @query(
     "cross_category_rules",
-    f"WITH {CATEGORY_SQL} SELECT {_CATEGORY_COLS} FROM cats WHERE antecedent_categories <> consequent_categories",
+    f"WITH {CATEGORY_SQL} SELECT {_CATEGORY_COLS} FROM cats WHERE NOT LIST_HAS_ANY(la, lc)",
 )
 def cross_category_rules(spark, sf_dir):
     return _category_rows(rl.cross_category_rules(_categorised(spark, sf_dir)))
@@ -415,7 +419,7 @@ def cross_category_rules(spark, sf_dir):
 
 @query(
     "top_cross_category",
-    f"""WITH {CATEGORY_SQL} SELECT {_CATEGORY_COLS} FROM cats WHERE antecedent_categories <> consequent_categories
+    f"""WITH {CATEGORY_SQL} SELECT {_CATEGORY_COLS} FROM cats WHERE NOT LIST_HAS_ANY(la, lc)
     ORDER BY ROUND(cats.lift, 9) DESC, cats.antecedents, cats.consequents LIMIT 10""",
 )
 def top_cross_category(spark, sf_dir):
