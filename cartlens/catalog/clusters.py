@@ -148,8 +148,8 @@ def dbscan_eps(spark, sf_dir):
     return rounded(density.estimate_eps(density.knn_distance(points(spark, sf_dir))), eps=6)
 
 
-def _eps(pts) -> float:
-    return float(density.estimate_eps(density.knn_distance(pts)).head().eps)
+def _eps(pts, packed) -> float:
+    return float(density.estimate_eps(density.knn_distance(pts, packed=packed)).head().eps)
 
 
 @query(
@@ -159,13 +159,15 @@ def _eps(pts) -> float:
 )
 def dbscan_neighbours(spark, sf_dir):
     pts = points(spark, sf_dir)
-    return density.neighbour_counts(pts, _eps(pts))
+    packed = density.pack(pts)
+    return density.neighbour_counts(pts, _eps(pts, packed), packed=packed)
 
 
 @query("dbscan")
 def dbscan(spark, sf_dir):
     pts = points(spark, sf_dir)
-    return density.dbscan(pts, _eps(pts))
+    packed = density.pack(pts)
+    return density.dbscan(pts, _eps(pts, packed), packed=packed)
 
 
 @query("kmeans_sweep")

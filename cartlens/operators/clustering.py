@@ -217,8 +217,9 @@ def method_comparison(points: DataFrame, k: int, min_samples: int = 5, seed: int
     points = reused(points)
     kmeans = assign_nearest_center(points, kmeans_fit(points, k, 1, seed), "kmeans").select("point_id", "kmeans")
     tree = hierarchical_clusters(points, k, seed).withColumnRenamed("cluster", "hierarchical")
-    eps = float(density.estimate_eps(density.knn_distance(points)).head().eps)
-    dense = density.dbscan(points, eps, min_samples).select("point_id", F.col("cluster").alias("dbscan"))
+    packed = density.pack(points)
+    eps = float(density.estimate_eps(density.knn_distance(points, packed=packed)).head().eps)
+    dense = density.dbscan(points, eps, min_samples, packed=packed).select("point_id", F.col("cluster").alias("dbscan"))
     labels = reused(kmeans.join(tree, "point_id").join(dense, "point_id"))
     agreement = adjusted_rand(labels, "kmeans", "hierarchical").scalar()
     summary = labels.agg(

@@ -21,19 +21,24 @@ def _untagged(points: DataFrame) -> DataFrame:
     return points.select("point_id", "features", F.array(F.lit(0).cast("long")).alias("tags"))
 
 
+def pack(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks of the points; pack once and hand them to the functions below to share the work."""
+    return pack_blocks(_untagged(points), block_rows)
+
+
 def _nearest_start(own: Block) -> np.ndarray:
     gaps = distances(own.x, own.x)
     np.fill_diagonal(gaps, np.inf)
     return gaps.min(axis=1)
 
 
-def knn_distance(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_distance(points: DataFrame, block_rows: int = BLOCK_ROWS, packed: DataFrame | None = None) -> DataFrame:
     """Exact distance from each point to its nearest other point (0 for an exact copy).
 
     A first pass inside each block gives every point an upper bound; a second pass visits only the
     blocks whose box is closer than the block's largest bound. Nothing is approximated.
     """
-    blocks = pack_blocks(_untagged(points), block_rows)
+    blocks = pack(points, block_rows) if packed is None else packed
 
     def within(state, own):
         return pd.DataFrame({"block": [own.number], "reach": [float(state.max())]})
@@ -71,9 +76,11 @@ def _tag_rows(values: np.ndarray, own: Block) -> pd.DataFrame:
 TAG_SCHEMA = "block long, tags binary"
 
 
-def neighbour_counts(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def neighbour_counts(
+    points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, packed: DataFrame | None = None
+) -> DataFrame:
     """Points within ``eps`` of each point, itself included."""
-    blocks = pack_blocks(_untagged(points), block_rows)
+    blocks = pack(points, block_rows) if packed is None else packed
     return _counts(
         blocks, near_pairs(blocks, F.lit(eps)), eps,
         lambda state, own: pd.DataFrame({"point_id": own.ids, "n_neighbours": state}),
@@ -123,7 +130,11 @@ def _joining_links(mine: np.ndarray, theirs: np.ndarray) -> list[int]:
 
 
 def dbscan(
-    points: DataFrame, eps: float, min_samples: int = 5, block_rows: int = BLOCK_ROWS
+    points: DataFrame,
+    eps: float,
+    min_samples: int = 5,
+    block_rows: int = BLOCK_ROWS,
+    packed: DataFrame | None = None,
 ) -> DataFrame:
     """Density clustering: ``point_id``, ``core``, ``cluster``; noise is -1.
 
@@ -135,24 +146,16 @@ def dbscan(
     for the first time are emitted (a spanning forest), so a dense crowd costs a few links per block
     pair and not one per pair of points.
     """
-    blocks = pack_blocks(_untagged(points), block_rows)
+    blocks = pack(points, block_rows) if packed is None else packed
     pairs = checkpointed(near_pairs(blocks, F.lit(eps)))
+    none = pairs.limit(0)
 
-    cores = _counts(
-        blocks, pairs, eps, lambda state, own: _tag_rows(state >= min_samples, own), TAG_SCHEMA
-    )
-    with_core = _retag(blocks, cores)
-
-    # Groups inside a block, and a block-wide name for each: (block, position of its first point).
-    def own_groups(own: Block) -> np.ndarray:
-        core = own.tags[:, 0] == 1
-        return _groups(distances(own.x, own.x) <= eps, core)
+    # Counts decide which points are core; core points are grouped inside their block at once. A group is
+    # known by its block and the position of its first point; -1 marks the points that are not core.
+    def own_groups(counts, own):
+        return _tag_rows(_groups(distances(own.x, own.x) <= eps, counts >= min_samples), own)
 
-    none = pairs.limit(0)
-    grouped = _retag(
-        with_core,
-        fold_pairs(with_core, none, own_groups, lambda s, a, b: None, _tag_rows_from_state, TAG_SCHEMA),
-    )
+    grouped = _retag(blocks, _counts(blocks, pairs, eps, own_groups, TAG_SCHEMA))
 
     def link(state, own, other):
         near = distances(own.x, other.x) <= eps
@@ -230,10 +233,6 @@ def dbscan(
     )
 
 
-def _tag_rows_from_state(state: np.ndarray, own: Block) -> pd.DataFrame:
-    return _tag_rows(state, own)
-
-
 def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``nodes`` (node, first_id) with ``root``: the smallest ``first_id`` connected to each node.
 
@@ -242,6 +241,8 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 2
     """
     both = checkpointed(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     state = nodes.withColumn("root", F.col("first_id"))
+    if both.isEmpty():
+        return state
     for _ in range(max_rounds):
         heard = (
             both.join(state.select(F.col("node").alias("v"), "root"), "v")
