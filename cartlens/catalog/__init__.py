@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["quality", "features", "overview", "clusters", "baskets", "business"]
+MODULES = ["quality", "features", "overview", "clusters", "baskets", "business", "exchange"]
 
 
 def load_catalog():
