@@ -5,6 +5,7 @@ Points come as ``point_id`` and ``features`` (array<double>).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -32,6 +33,9 @@ from cartlens.session import reused
 SEED = 42
 RESTARTS = 10
 MAX_ITERATIONS = 300
+ROWS_PER_TASK = 100_000
+# Fits submitted at a time; each is a chain of short jobs that leaves most of a cluster idle.
+PARALLEL_FITS = 8
 # Above this many points the exact silhouette (every pair of points) gives way to the squared form.
 EXACT_SILHOUETTE_POINTS = 200_000
 
@@ -41,9 +45,14 @@ def as_points(z: DataFrame, key: str = "customer_id") -> DataFrame:
 
 
 def vectors(points: DataFrame) -> DataFrame:
-    """Points with an ML vector, in a fixed order inside fixed partitions so equal seeds give equal fits."""
+    """Points with an ML vector, in a fixed order inside fixed partitions so equal seeds give equal fits.
+
+    The partitions are sized by rows: a fit runs one short job per iteration, which for few points is
+    mostly the cost of starting tasks.
+    """
+    tasks = max(1, math.ceil(points.count() / ROWS_PER_TASK))
     return (
-        points.repartition("point_id")
+        points.repartition(tasks, "point_id")
         .sortWithinPartitions("point_id")
         .select("point_id", array_to_vector("features").alias("vector"))
     )
@@ -57,7 +66,7 @@ class KMeansFit:
 
 
 def fit_kmeans_many(
-    table: DataFrame, ks: Sequence[int], restarts: int = RESTARTS, seed: int = SEED, parallelism: int = 4
+    table: DataFrame, ks: Sequence[int], restarts: int = RESTARTS, seed: int = SEED, parallelism: int = PARALLEL_FITS
 ) -> dict[int, KMeansFit]:
     """The cheapest of ``restarts`` fits for every k. The fits are independent jobs over one kept table,
     submitted a few at a time."""
@@ -122,10 +131,9 @@ def kmeans_sweep(
         scores = {r.labelling: r.silhouette for r in silhouette(labelled, [f"k{k}" for k in ks]).collect()}
     else:
         scores = {f"k{k}": silhouette_squared(labelled, f"k{k}") for k in ks}
-    rows = []
-    for k in ks:
-        spread = davies_bouldin(labelled, f"k{k}").head().davies_bouldin
-        rows.append((k, float(fits[k].wcss), float(scores[f"k{k}"]), float(spread), method))
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        spreads = dict(zip(ks, pool.map(lambda k: davies_bouldin(labelled, f"k{k}").head().davies_bouldin, ks), strict=True))
+    rows = [(k, float(fits[k].wcss), float(scores[f"k{k}"]), float(spreads[k]), method) for k in ks]
     for held in (labelled, table, points):
         held.unpersist()
     schema = "k int, wcss double, silhouette double, davies_bouldin double, method string"
