@@ -248,7 +248,7 @@ v AS (
       CASE WHEN turn < 0 THEN 'turn: below min' END,
       CASE WHEN name = 'configure' AND turn > 0 THEN 'turn: above max' END,
       CASE WHEN words < 1 THEN 'words: below min' END,
-      CASE WHEN name = 'answer' AND words > 4096 THEN 'words: above max' END], x -> x IS NOT NULL))
+      CASE WHEN name = 'answer' AND words > 4096 THEN 'words: above max' END], lambda x: x IS NOT NULL))
     || CASE WHEN needs IS NOT NULL AND NOT EXISTS (
          SELECT 1 FROM k p WHERE p.conv_id = k.conv_id AND p.call_id = k.needs) THEN ['reference: unknown call'] ELSE [] END AS bad
   FROM k

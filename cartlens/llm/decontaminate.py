@@ -154,31 +154,34 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
         yield block
 
 
+def _leaks_of(shared, min_coverage: float):
+    @F.pandas_udf(TILES)
+    def udf(texts: pd.Series) -> pd.Series:
+        leaks = shared.value.leaks
+        return pd.Series([
+            [
+                {
+                    "item_id": i, "item_words": n, "covered_words": c,
+                    "tiles": [{"doc_start": a, "item_start": b, "length": k} for a, b, k in tiles],
+                }
+                for i, n, c, tiles in leaks(t, min_coverage)
+            ]
+            for t in texts
+        ], dtype=object)
+
+    return udf
+
+
 def with_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
     seed_words: int = SEED_WORDS, min_coverage: float = MIN_COVERAGE, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` as struct ``row``, beside ``leaks``: the items that the text covers, with their tiles."""
     found = wrapped(docs, _text=text).withColumn("leaks", F.array().cast(TILES))
-    sc = docs.sparkSession.sparkContext
     for block in _blocks(benchmark, item_id, item_text, block_words):
-        shared = sc.broadcast(Benchmark(block, seed_words))
-
-        @F.pandas_udf(TILES)
-        def udf(texts: pd.Series, shared=shared) -> pd.Series:
-            leaks = shared.value.leaks
-            return pd.Series([
-                [
-                    {
-                        "item_id": i, "item_words": n, "covered_words": c,
-                        "tiles": [{"doc_start": a, "item_start": b, "length": k} for a, b, k in tiles],
-                    }
-                    for i, n, c, tiles in leaks(t, min_coverage)
-                ]
-                for t in texts
-            ], dtype=object)
-
-        found = found.withColumn("leaks", F.concat("leaks", udf(F.col("_text").cast("string"))))
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, seed_words))
+        leaks = _leaks_of(shared, min_coverage)(F.col("_text").cast("string"))
+        found = found.withColumn("leaks", F.concat("leaks", leaks))
     return found.select("row", "leaks")
 
 

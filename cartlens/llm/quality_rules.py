@@ -177,7 +177,7 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 g AS (SELECT r, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS gram
       FROM w, LATERAL (SELECT unnest(range(1, len(ws) - {WINDOW - 2})) AS i)),
 twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g),
