@@ -194,12 +194,12 @@ def read_spec(path: str) -> str:
 
 def encoded(docs: DataFrame, text: str = "text", path: str = WORD_FILE) -> DataFrame:
     """``docs`` as struct ``row``, beside ``ids`` (binary: little-endian 32-bit integers) and ``decoded``."""
-    key = ("word_bpe", os.path.basename(path))
+    key = os.path.basename(path)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     @F.pandas_udf("ids binary, decoded string")
     def udf(texts: pd.Series) -> pd.DataFrame:
-        both = worker_state(key, lambda: WordTokenizer(spec.value)).encode_decode
+        both = worker_state("word_bpe", key, lambda: WordTokenizer(spec.value)).encode_decode
         return pd.DataFrame([both(t) for t in texts], columns=["ids", "decoded"], dtype=object)
 
     return wrapped(docs, _text=text).withColumn("bpe", udf(F.col("_text").cast("string"))).select(

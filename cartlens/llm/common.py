@@ -35,13 +35,17 @@ def wrapped(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(F.struct("*").alias("row"), *[F.col(c).alias(name) for name, c in columns.items()])
 
 
-def worker_state(key: tuple, make):
-    """One value per Python worker process and ``key``, kept between the tasks that the worker runs."""
+def worker_state(kind: str, key, make):
+    """The value for ``key``, made once per Python worker and kept between its tasks; one value per ``kind``.
+
+    Broadcasts hold plain data only (their classes would have to be installed on the executors); what tasks
+    build from them is kept here.
+    """
     module = sys.modules.setdefault("_cartlens_worker_state", types.ModuleType("_cartlens_worker_state"))
     store = module.__dict__.setdefault("store", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if kind not in store or store[kind][0] != key:
+        store[kind] = (key, make())
+    return store[kind][1]
 
 
 class BoundedCache(dict):

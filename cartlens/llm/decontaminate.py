@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import table, wrapped
+from cartlens.llm.common import table, worker_state, wrapped
 
 SEED_WORDS = 5
 MIN_COVERAGE = 0.8
@@ -154,17 +155,19 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
         yield block
 
 
-def _leaks_of(shared, min_coverage: float):
+def _leaks_of(n: int, shared, seed_words: int, min_coverage: float):
+    key = uuid.uuid4().hex
+
     @F.pandas_udf(TILES)
     def udf(texts: pd.Series) -> pd.Series:
-        leaks = shared.value.leaks
+        leaks = worker_state(f"benchmark {n}", key, lambda: Benchmark(shared.value, seed_words)).leaks
         return pd.Series([
             [
                 {
-                    "item_id": i, "item_words": n, "covered_words": c,
+                    "item_id": i, "item_words": size, "covered_words": c,
                     "tiles": [{"doc_start": a, "item_start": b, "length": k} for a, b, k in tiles],
                 }
-                for i, n, c, tiles in leaks(t, min_coverage)
+                for i, size, c, tiles in leaks(t, min_coverage)
             ]
             for t in texts
         ], dtype=object)
@@ -178,9 +181,9 @@ def with_leaks(
 ) -> DataFrame:
     """``docs`` as struct ``row``, beside ``leaks``: the items that the text covers, with their tiles."""
     found = wrapped(docs, _text=text).withColumn("leaks", F.array().cast(TILES))
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(block, seed_words))
-        leaks = _leaks_of(shared, min_coverage)(F.col("_text").cast("string"))
+    for n, block in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        leaks = _leaks_of(n, shared, seed_words, min_coverage)(F.col("_text").cast("string"))
         found = found.withColumn("leaks", F.concat("leaks", leaks))
     return found.select("row", "leaks")
 

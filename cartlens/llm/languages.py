@@ -15,6 +15,7 @@ Defined cases: a null text, or one without a letter, is ``und`` with score 0. Wi
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -193,12 +194,14 @@ def fitted(docs: DataFrame) -> Model:
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` as struct ``row``, beside ``lang_pred``, ``lang_score`` and ``accepted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = ("language", zlib.crc32(model.table.tobytes()))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.languages, model.table, model.bias, model.temperature, model.accept)
+    )
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        one = worker_state(key, lambda: Scorer(shared.value)).predict
+        one = worker_state("language", key, lambda: Scorer(Model(*shared.value))).predict
         return pd.DataFrame([one(t) for t in texts], columns=["lang", "score"])
 
     found = wrapped(docs, _text=text).withColumn("p", predict(F.col("_text").cast("string")))

@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import table, wrapped
+from cartlens.llm.common import table, worker_state, wrapped
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -190,7 +191,8 @@ def word_frequencies(docs: DataFrame, text: str = "text") -> tuple[dict[str, int
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as struct ``row``, beside the findings of every text in ``found``."""
-    shared = docs.sparkSession.sparkContext.broadcast(Index(*word_frequencies(docs, text)))
+    shared = docs.sparkSession.sparkContext.broadcast(word_frequencies(docs, text))
+    key = uuid.uuid4().hex
     columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     @F.pandas_udf(
@@ -198,7 +200,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
         "labels array<string>, score double"
     )
     def scan(texts: pd.Series) -> pd.DataFrame:
-        one = shared.value.scan
+        one = worker_state("licenses", key, lambda: Index(*shared.value)).scan
         out = pd.DataFrame([one(t) for t in texts], columns=columns)
         return out.astype({"first_word": "Int64", "last_word": "Int64"})
 

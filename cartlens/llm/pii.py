@@ -125,14 +125,14 @@ def _byte(digest: Column, n: Column) -> Column:
     return F.conv(F.substring(digest, at, F.lit(2)), 16, 10).cast("int")
 
 
-def _shaped(value: Column, digest: Column, start: int = 0) -> Column:
+def _shaped(value: Column, digest: Column) -> Column:
     """``value`` with other digits and letters of the same kind; everything else stays in place.
 
     The n-th digit or letter takes the n-th byte, so spaces and punctuation don't change the result.
     """
 
     def step(state: Column, c: Column) -> Column:
-        b = _byte(digest, state["n"] + start)
+        b = _byte(digest, state["n"])
         new = (
             F.when(c.rlike("[0-9]"), F.pmod(b, F.lit(10)).cast("string"))
             .when(c.rlike("[a-z]"), F.char(F.lit(97) + F.pmod(b, F.lit(26))))
@@ -149,15 +149,12 @@ def _shaped(value: Column, digest: Column, start: int = 0) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum, modulo 10, of a string of digits."""
+    # What a digit adds: itself, and at every other place the digit sum of its double.
+    doubled = F.from_json(F.lit("[0,1,2,3,4,5,6,7,8,9,0,2,4,6,8,1,3,5,7,9]"), "array<int>")
     folded = F.aggregate(
         F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")),
         lambda s, c: F.struct(
-            (
-                s["sum"] + F.when(s["n"] % 2 == 0, F.coalesce(c.cast("int"), F.lit(0))).otherwise(
-                    F.coalesce(c.cast("int"), F.lit(0)) * 2
-                    - F.when(F.coalesce(c.cast("int"), F.lit(0)) > 4, 9).otherwise(0)
-                )
-            ).alias("sum"),
+            (s["sum"] + F.get(doubled, s["n"] % 2 * 10 + F.coalesce(c.cast("int"), F.lit(0)))).alias("sum"),
             (s["n"] + 1).alias("n"),
         ),
         lambda s: s["sum"],
@@ -166,7 +163,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _pick(values: list[str], n: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(n, F.lit(len(values))))
+    return F.get(F.split(F.lit(" ".join(values)), " "), F.pmod(n, F.lit(len(values))))
 
 
 def _name(value: Column, digest: Column, gender: Column, attempt: Column) -> Column:
@@ -174,9 +171,10 @@ def _name(value: Column, digest: Column, gender: Column, attempt: Column) -> Col
     name = _after(value, rf"(?:{_TITLES})\.? ")
 
     def in_script(script: str) -> Column:
-        given = F.when(gender == "f", _pick(GIVEN[script]["f"], _byte(digest, F.lit(0))))
-        given = given.when(gender == "m", _pick(GIVEN[script]["m"], _byte(digest, F.lit(0))))
-        given = given.otherwise(_pick(GIVEN[script]["n"], _byte(digest, F.lit(0))))
+        # Sixteen names of each gender in one list; the gender chooses the part.
+        part = F.when(gender == "f", 0).when(gender == "m", 16).otherwise(32)
+        names = GIVEN[script]["f"] + GIVEN[script]["m"] + GIVEN[script]["n"]
+        given = _pick(names, part + F.pmod(_byte(digest, F.lit(0)), F.lit(16)))
         parts = F.transform(
             F.sequence(F.lit(1), F.lit(4) + attempt), lambda k: _pick(SYLLABLES[script], _byte(digest, k))
         )
@@ -191,39 +189,45 @@ def _name(value: Column, digest: Column, gender: Column, attempt: Column) -> Col
     )
 
 
-def _surrogate(key: str) -> Column:
-    """The surrogate of the columns kind, value, canonical, gender, attempt."""
-    kind, value, canonical, attempt = F.col("kind"), F.col("value"), F.col("canonical"), F.col("attempt")
-    digest = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, canonical, attempt.cast("string")), 512)
-    host = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("host"), F.element_at(F.split(canonical, "@"), -1)), 256)
-    email = F.concat(
-        _shaped(F.element_at(F.split(F.lower(value), "@"), 1), digest), F.lit("@h"), F.substring(host, 1, 6),
-        F.lit(".example.com"),
+def _with_surrogate(drawn: DataFrame, key: str) -> DataFrame:
+    """``drawn`` (kind, value, canonical, gender, attempt) with the column ``surrogate``.
+
+    What comes before the replaced part is kept, and what comes after a mail address's local part is the
+    surrogate of its host. One expression then replaces digits and letters for all types.
+    """
+    kind, value, canonical = F.col("kind"), F.col("value"), F.col("canonical")
+    sep = chr(1)
+    marked = F.regexp_extract(value, rf"^(?:(?i:{_SECRET})|AKIA|gh[pousr]_|sk-|\+[0-9]{{1,3}}(?![0-9])[ .\-]?)", 0)
+    kept = (
+        F.when(kind.isin("secret", "key", "phone"), marked).when(kind.isin("card", "ssn"), F.substring(value, 1, 1))
+        .when(kind == "iban", F.substring(value, 1, 2)).otherwise(F.lit(""))
     )
-    prefix = F.regexp_extract(value, r"^(?:\+[0-9]{1,3}(?![0-9])[ .\-]?)?", 0)
-    phone = F.concat(prefix, _shaped(value.substr(F.length(prefix) + 1, F.length(value)), digest))
-    card = F.concat(F.substring(value, 1, 1), _shaped(value.substr(F.lit(2), F.length(value)), digest))
-    # The last digit makes the Luhn sum what it was for valid numbers.
-    body = card.substr(F.lit(1), F.length(card) - 1)
-    check = F.pmod(F.lit(10) - _luhn(F.concat(_digits(body), F.lit("0"))), F.lit(10)).cast("string")
-    card = F.when(_luhn(_digits(value)) == 0, F.concat(body, check)).otherwise(card)
-    ip = F.array_join(
-        F.array(
-            (F.lit(240) + F.pmod(_byte(digest, F.lit(0)), F.lit(16))).cast("string"),
-            *[_byte(digest, F.lit(n)).cast("string") for n in (1, 2, 3)],
-        ), ".",
+    body = F.when(kind == "email", F.substring_index(F.lower(value), "@", 1)).otherwise(
+        value.substr(F.length("kept") + 1, F.length(value))
     )
-    marked = F.regexp_extract(value, rf"^(?i:{_SECRET})", 0)
-    secret = F.concat(marked, _shaped(value.substr(F.length(marked) + 1, F.length(value)), digest))
-    head = F.regexp_extract(value, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
-    own_key = F.concat(head, _shaped(value.substr(F.length(head) + 1, F.length(value)), digest))
-    return (
-        F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card)
-        .when(kind == "ssn", F.concat(F.lit("9"), _shaped(value.substr(F.lit(2), F.length(value)), digest)))
-        .when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "key", own_key)
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), _shaped(value.substr(F.lit(3), F.length(value)), digest)))
-        .otherwise(_name(value, digest, F.col("gender"), attempt))
+    shaped = (
+        drawn.withColumn("digest", F.sha2(F.concat_ws(sep, F.lit(key), kind, canonical, "attempt"), 512))
+        .withColumn("host", F.sha2(F.concat_ws(sep, F.lit(key), F.lit("host"), F.substring_index(canonical, "@", -1)), 256))
+        .withColumn("kept", kept).withColumn("body", body)
+        .withColumn("shaped", _shaped(F.col("body"), F.col("digest")))
+        .withColumn("number", F.concat("kept", "shaped"))
+    )
+    number, digest = F.col("number"), F.col("digest")
+    # The last digit makes the Luhn sum of a valid number valid again.
+    front = number.substr(F.lit(1), F.length(number) - 1)
+    check = F.pmod(F.lit(10) - _luhn(F.concat(_digits(front), F.lit("0"))), F.lit(10)).cast("string")
+    ip = F.concat_ws(
+        ".", F.lit(240) + F.pmod(_byte(digest, F.lit(0)), F.lit(16)), *[_byte(digest, F.lit(n)) for n in (1, 2, 3)]
     )
+    return shaped.withColumn(
+        "surrogate",
+        F.when(kind == "email", F.concat("shaped", F.lit("@h"), F.substring("host", 1, 6), F.lit(".example.com")))
+        .when((kind == "card") & (_luhn(_digits(value)) == 0), F.concat(front, check))
+        .when(kind == "ssn", F.concat(F.lit("9"), "shaped"))
+        .when(kind == "ip", ip)
+        .when(kind == "name", _name(value, digest, F.col("gender"), F.col("attempt")))
+        .otherwise(number),
+    ).select(*drawn.columns, "surrogate")
 
 
 def entities(found: DataFrame) -> DataFrame:
@@ -250,7 +254,7 @@ def surrogates(spellings: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     )
     real = each.select("kind", F.col("canonical").alias("drawn"), F.lit(True).alias("real"))
     while True:
-        drawn = each.withColumn("surrogate", _surrogate(key))
+        drawn = _with_surrogate(each, key)
         drawn = drawn.withColumn("drawn", _canonical(F.col("kind"), F.col("surrogate"))).drop("surrogate")
         first = drawn.groupBy("kind", "drawn").agg(F.min("canonical").alias("first"))
         judged = drawn.join(first, ["kind", "drawn"]).join(real, ["kind", "drawn"], "left")
@@ -260,7 +264,7 @@ def surrogates(spellings: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
             break
         each = judged.withColumn("attempt", F.col("attempt") + F.col("collides").cast("int")).drop("collides")
     chosen = each.select("kind", "canonical", "gender", "attempt")
-    return spellings.join(chosen, ["kind", "canonical"]).select("value", _surrogate(key).alias("surrogate"))
+    return _with_surrogate(spellings.join(chosen, ["kind", "canonical"]), key).select("value", "surrogate")
 
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:

@@ -94,11 +94,11 @@ def counted(docs: DataFrame, text: str = "text", path: str = BYTE_FILE) -> DataF
     model = json.loads(spec_text)["model"]
     proven = whole_tokens(Merges(model["vocab"], [tuple(m) for m in model["merges"]]))
     shared = docs.sparkSession.sparkContext.broadcast((spec_text, proven))
-    key = ("token_counter", os.path.basename(path))
+    key = os.path.basename(path)
 
     @F.pandas_udf("long")
     def udf(texts: pd.Series) -> pd.Series:
-        count = worker_state(key, lambda: TokenCounter(*shared.value)).count
+        count = worker_state("token_counter", key, lambda: TokenCounter(*shared.value)).count
         return pd.Series([count(t) for t in texts], dtype="int64")
 
     df = wrapped(docs, _text=text).withColumn("_text", F.coalesce(F.col("_text").cast("string"), F.lit("")))
