@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from cartlens.llm.common import table, words_of, worker_state, wrapped
 
 # Bounds of the training sample: rows, and words of each (evenly spread over the whole text).
-TRAIN_ROWS = 3000
-CALIBRATION_ROWS = 1000
-TRAIN_WORDS = 300
+TRAIN_ROWS = 1000
+CALIBRATION_ROWS = 500
+TRAIN_WORDS = 150
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-EPOCHS = 6
+EPOCHS = 4
 RATE = 0.5
-BATCH_WORDS = 30
+BATCH_WORDS = 50
 # Share of accepted predictions that should be right on the calibration sample.
 TARGET_PRECISION = 0.99
 

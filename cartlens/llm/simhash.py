@@ -114,7 +114,8 @@ def _split_hot(rows: DataFrame, cell_rows: int) -> DataFrame:
 
 
 def _bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(np.bitwise_xor(a, b))
+    # bitwise_count takes the absolute value of signed numbers.
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64))
 
 
 def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
