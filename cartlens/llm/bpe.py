@@ -144,7 +144,7 @@ _CONTROLS = re.compile("[" + chr(0x1C) + "-" + chr(0x1F) + "]").search
 class WordTokenizer:
     """Lower-cased, NFC-normalised words with an end mark; white space is dropped. ``spec`` is the file's JSON."""
 
-    def __init__(self, spec: str, cache: int = 200_000):
+    def __init__(self, spec: str, cache: int = 120_000):
         data = json.loads(spec)
         model = data["model"]
         self.merges = Merges(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")

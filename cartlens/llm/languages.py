@@ -179,10 +179,15 @@ def sample(docs: DataFrame, rows: int, salt: int) -> list[tuple[list[str], str]]
         return []
     place = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000))
     share = min(1_000_000, int(1_000_000 * rows / total * 0.9) + 1) if total > rows else 1_000_000
-    ws = words_of(F.col("text"))
-    every = F.greatest(F.ceil(F.size(ws) / TRAIN_WORDS), F.lit(1))
-    spread = F.array_join(F.filter(ws, lambda w, i: i % every == 0), " ")
-    chosen = labelled.where(place < share).select("doc_id", spread.alias("piece"), "lang").limit(rows).collect()
+    # Every n-th word, by place: each is looked up once.
+    ws = F.col("_ws")
+    every = F.greatest(F.ceil(F.size(ws) / TRAIN_WORDS), F.lit(1)).cast("int")
+    places = F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws), every))
+    spread = F.array_join(F.transform(places, lambda i: F.element_at(ws, i)), " ")
+    chosen = (
+        labelled.where(place < share).select("doc_id", "lang", words_of(F.col("text")).alias("_ws"))
+        .select("doc_id", F.coalesce(spread, F.lit("")).alias("piece"), "lang").limit(rows).collect()
+    )
     return [(text_words(r["piece"]), r["lang"]) for r in sorted(chosen, key=lambda r: (r["doc_id"], r["piece"]))]
 
 

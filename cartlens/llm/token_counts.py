@@ -46,7 +46,7 @@ def whole_tokens(merges: Merges) -> set[str]:
 
 
 class TokenCounter:
-    def __init__(self, spec: str, whole: set[str], cache: int = 200_000):
+    def __init__(self, spec: str, whole: set[str], cache: int = 120_000):
         data = json.loads(spec)
         model = data["model"]
         self.merges = Merges(model["vocab"], [tuple(m) for m in model["merges"]])
