@@ -172,14 +172,14 @@ def dbscan(spark, sf_dir):
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
-    """Metrics for k = 2..10. Two restarts per k here; the library's default is ten."""
-    return clustering.kmeans_sweep(points(spark, sf_dir), max_k=10, restarts=2)[0]
+    """Metrics for k = 2..10, ten restarts each."""
+    return clustering.kmeans_sweep(points(spark, sf_dir))[0]
 
 
 @query("elbow_curve")
 def elbow_curve(spark, sf_dir):
-    """The sweep as a chart series, over the narrower range of the smallest slider setting."""
-    metrics, _ = clustering.kmeans_sweep(points(spark, sf_dir), max_k=4, restarts=2)
+    """The sweep as a chart series."""
+    metrics, _ = clustering.kmeans_sweep(points(spark, sf_dir))
     return metrics.select("k", "wcss", "silhouette", "davies_bouldin").orderBy("k")
 
 
@@ -217,7 +217,7 @@ def choose_k(spark, sf_dir):
 @query("kmeans_fit")
 def kmeans_fit(spark, sf_dir):
     kept, z = scaled(spark, sf_dir)
-    centers = clustering.kmeans_fit(clustering.as_points(z), 5, restarts=2)
+    centers = clustering.kmeans_fit(clustering.as_points(z), 5)
     return clustering.label_customers(z, kept, centers).select("customer_id", "cluster", *FEATURES)
 
 

@@ -36,8 +36,6 @@ MAX_ITERATIONS = 300
 ROWS_PER_TASK = 100_000
 # Fits submitted at a time; each is a chain of short jobs that leaves most of a cluster idle.
 PARALLEL_FITS = 8
-# Above this many points the exact silhouette (every pair of points) gives way to the squared form.
-EXACT_SILHOUETTE_POINTS = 200_000
 
 
 def as_points(z: DataFrame, key: str = "customer_id") -> DataFrame:
@@ -108,25 +106,24 @@ def assign_nearest_center(points: DataFrame, centers: Sequence[Sequence[float]],
 
 
 def kmeans_sweep(
-    points: DataFrame, max_k: int = 10, restarts: int = RESTARTS, seed: int = SEED, method: str = "auto"
+    points: DataFrame, max_k: int = 10, restarts: int = RESTARTS, seed: int = SEED, method: str = "euclidean"
 ) -> tuple[DataFrame, dict[int, KMeansFit]]:
     """Metrics per k = 2..max_k and the fits behind them.
 
     One pass labels every point under every k; the exact silhouette then measures each distance once
-    for all of them. ``method``: ``euclidean``, ``squared`` or ``auto`` (by number of points).
+    for all of them. ``method``: ``euclidean``, the same at every size, or ``squared`` if the caller asks for it.
     """
     spark = points.sparkSession
     points = reused(points)
     table = reused(vectors(points))
-    n = table.count()
     ks = list(range(2, max_k + 1))
     fits = fit_kmeans_many(table, ks, restarts, seed)
     labelled = points
     for k in ks:
         labelled = assign_nearest_center(labelled, ordered_centers(fits[k].model), f"k{k}")
     labelled = reused(labelled)
-    if method == "auto":
-        method = "euclidean" if n <= EXACT_SILHOUETTE_POINTS else "squared"
+    if method not in ("euclidean", "squared"):
+        raise ValueError(f"unknown silhouette: {method}")
     if method == "euclidean":
         scores = {r.labelling: r.silhouette for r in silhouette(labelled, [f"k{k}" for k in ks]).collect()}
     else:

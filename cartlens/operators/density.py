@@ -233,17 +233,17 @@ def dbscan(
     )
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` (node, first_id) with ``root``: the smallest ``first_id`` connected to each node.
 
     Every round takes the smallest root among the neighbours and then hops to the root's own root, so
-    long chains shrink by half. Each round is checkpointed.
+    long chains shrink by half, until nothing changes. Each round is checkpointed.
     """
     both = checkpointed(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     state = nodes.withColumn("root", F.col("first_id"))
     if both.isEmpty():
         return state
-    for _ in range(max_rounds):
+    while True:
         heard = (
             both.join(state.select(F.col("node").alias("v"), "root"), "v")
             .groupBy(F.col("u").alias("node"))
@@ -262,7 +262,6 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 2
         state = after.drop("before")
         if not changed:
             return state
-    raise RuntimeError("connected components did not settle")
 
 
 def _number_clusters(component: DataFrame) -> DataFrame:
