@@ -31,9 +31,14 @@ def connected(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        moved = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
         edges = after
-        if not moved:
+        # In a star, a centre has no link of its own, and every other node has one. Links go to smaller nodes, so the
+        # centre of a star is the smallest node of it.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("links"), F.lit(False).alias("centre")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("links"), F.lit(True).alias("centre"))
+        )
+        seen = ends.groupBy("node").agg(F.sum("links").alias("links"), F.max("centre").alias("centre"))
+        if not seen.where("links > 1 OR (links = 1 AND centre)").limit(1).count():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
