@@ -7,8 +7,9 @@ is a topological order. Arguments are checked against the tool's schema, and eac
 keys sorted, no white space.
 
 Everything is built-in expressions. Nothing gathers a conversation in one row or task: an identifier that occurs often
-is aggregated before the join, levels come from joins on identifiers, round by round, and only calls that depend on
-others take part in the rounds (as many as the longest chain of references).
+is aggregated before the join, and levels come from joins on identifiers. Chains of single references are walked by
+doubling, so a conversation of any length takes a logarithmic number of rounds; calls with several references take one
+round per level of such calls.
 
 Defined cases: a call or result without conversation or identifier is linked to nothing: such calls are ``unanswered``,
 such results ``orphan``. Of several calls with one identifier the first by (turn, name, arguments) counts, of several
@@ -92,33 +93,70 @@ def _first(rows: DataFrame, keys: list[str], order: list[str], n: str) -> DataFr
     )
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at, steps, open) of the calls with exactly one reference: where their chain ends.
+
+    ``at`` is the first call down the chain that has no reference or several, ``steps`` how far away it is. Every round
+    doubles the distance looked ahead, so the rounds follow the logarithm of the longest chain; ``open`` marks chains
+    that never end, as they run into a cycle.
+    """
+    hops = checkpointed(edges.where("n = 1").select(
+        "conv_id", "call_id", F.col("needs").alias("at"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")
+    ))
+    total, reach = hops.count(), 1
+    while total:
+        ahead = hops.select(
+            "conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more")
+        )
+        hops = checkpointed(hops.drop("open").join(ahead, ["conv_id", "at"], "left").select(
+            "conv_id", "call_id", F.coalesce("next", "at").alias("at"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open"),
+        ))
+        if reach >= total or hops.where("open").isEmpty():
+            break
+        reach *= 2
+    return hops
+
+
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls that can be ordered; ``edges`` (conv_id, call_id, needs) are references.
 
-    A call is placed in the round after the last of the calls it needs. Each round works on the references of the
-    calls that are not placed yet.
+    Chains of single references are walked by doubling. Calls with several references are then placed in the round
+    after the last of the calls their chains end at; each round works on those that are not placed yet.
     """
     key = ["conv_id", "call_id"]
-    placed = checkpointed(calls.join(edges, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level")))
-    done, open_, level = [placed], checkpointed(edges), 0
-    while not open_.isEmpty():
-        level += 1
-        left = checkpointed(
-            open_.join(
-                done[-1].select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"
-            ).select(*key, "needs")
+    edges = checkpointed(edges.distinct())
+    counted = checkpointed(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs")))
+    chains = _chains(counted)
+    ends = chains.select("conv_id", F.col("call_id").alias("needs"), "at", "steps", "open")
+    # A reference into a chain that never ends has a null end, which no placed call equals.
+    waiting = checkpointed(
+        edges.join(counted.where("n > 1").select(*key), key, "left_semi").join(ends, ["conv_id", "needs"], "left")
+        .select(
+            *key, F.when(F.coalesce("open", F.lit(False)), None).otherwise(F.coalesce("at", "needs")).alias("at"),
+            (F.coalesce("steps", F.lit(0)) + 1).cast("long").alias("steps"), F.lit(None).cast("long").alias("level"),
         )
+    )
+    done = [checkpointed(calls.join(counted, key, "left_anti").select(*key, F.lit(0).cast("long").alias("level")))]
+    while not waiting.isEmpty():
+        below = done[-1].select("conv_id", F.col("call_id").alias("at"), F.col("level").alias("below"))
+        known = checkpointed(waiting.join(below, ["conv_id", "at"], "left").select(
+            *key, "at", "steps", F.coalesce("level", F.col("below") + F.col("steps")).alias("level")
+        ))
         now = checkpointed(
-            open_.select(*key).distinct().join(left, key, "left_anti").select(*key, F.lit(level).cast("long").alias("level"))
+            known.groupBy(*key).agg(F.max("level").alias("level"), F.max(F.col("level").isNull()).alias("_waits"))
+            .where("NOT _waits").select(*key, "level")
         )
         if now.isEmpty():
             break  # what is left is on a cycle or behind one
         done.append(now)
-        open_ = left
-    out = done[0]
+        waiting = checkpointed(known.join(now, key, "left_anti"))
+    placed = done[0]
     for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        placed = placed.unionByName(d)
+    below = placed.select("conv_id", F.col("call_id").alias("at"), F.col("level").alias("below"))
+    chained = chains.where("NOT open").join(below, ["conv_id", "at"])
+    return placed.unionByName(chained.select(*key, (F.col("below") + F.col("steps")).alias("level")))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, dict]] | None = None) -> DataFrame:

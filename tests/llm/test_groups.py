@@ -215,3 +215,21 @@ def test_stages_keep_the_columns_and_do_their_work(spark):
         before = kept.count()
     out = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert out.count() == before
+
+
+def test_levels_equal_brute_force(spark):
+    rnd = random.Random(5)
+    needs = {n: {n - 2} if n > 1 else set() for n in range(150)}
+    needs |= {n: {rnd.randrange(200, n) for _ in range(rnd.choice([0, 1, 1, 1, 2, 3]))} if n > 200 else set() for n in range(200, 300)}
+    needs |= {400: {401}, 401: {402}, 402: {400}, 403: {400}, 404: {403, 5}, 405: {404}, 406: {406}, 407: {7, 149}}
+    want, left = {}, dict(needs)
+    while ready := [n for n, of in left.items() if of <= want.keys()]:
+        for n in ready:
+            want[n] = max((want[m] + 1 for m in left.pop(n)), default=0)
+    calls = spark.createDataFrame([("c", str(n)) for n in needs], "conv_id string, call_id string")
+    edges = spark.createDataFrame(
+        [("c", str(n), str(m)) for n, of in needs.items() for m in of], "conv_id string, call_id string, needs string"
+    )
+    rows = chat_tools.levels(calls, edges).collect()
+    assert len(rows) == len(want)
+    assert {int(r["call_id"]): r["level"] for r in rows} == want
