@@ -11,8 +11,10 @@ they are joined; one that occurs everywhere is one row in the table of surrogate
 Surrogates by type: mail addresses keep the shape of the local part and get hosts below example.com; phone numbers keep
 their country code and punctuation; card numbers keep the first digit and a valid check digit; other numbers keep their
 length; US social security numbers start with 9, which is never issued; IPv4 addresses come from the reserved 240/4;
-keys and secrets keep their prefix, letter case and length; names after a title keep the title and get names of its
+keys and secrets keep their prefix, letter case, scripts and length, and those in which
+nothing can be replaced ("****") become hexadecimal digits; names after a title keep the title and get names of its
 gender in the script of the name.
+Where so many entities share a shape that no surrogate of the shape is free, surrogates get longer.
 
 Defined cases: null and empty texts stay as they are, with no entities. Rows without id and repeated rows are handled
 like others. Empty tables give empty results. Extra columns are kept by ``pseudonymised``.
@@ -58,6 +60,24 @@ SYLLABLES = {
     "greek": "βα δεν φελ γορ χαν ζολ κεν λαρ μον νιμ πελ ροσ σεν ταρ βελ ξιν".split(),
 }
 
+# Characters that are replaced: all but ASCII signs and punctuation.
+REPLACED = r"[0-9A-Za-z]|[^\p{ASCII}\p{P}]"
+# What replaces them, by script and case; the last one takes what no other does.
+LETTERS = [
+    ("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"),
+    (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"), (r"[\p{IsArabic}&&\p{L}]", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"\p{IsDevanagari}", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"), (r"\p{IsThai}", "กขคงจฉชซญณดตถทธนบปผพฟภมยรลวสหอ"),
+    (r"\p{IsHan}", "一丁七三上下中久九乙二人八六刀力十千口土大女子小山川工水火木"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねの"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノ"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허"),
+    (r"\p{N}", "0123456789"), (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r".", "abcdefghijklmnopqrstuvwxyz"),
+]
+# Draws of the entity's own length; every further one is a digit longer, so there are always free surrogates.
+SAME_LENGTH = 3
+
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _SECRET = r"(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\"?"
 
@@ -126,25 +146,27 @@ def _byte(digest: Column, n: Column) -> Column:
 
 
 def _shaped(value: Column, digest: Column) -> Column:
-    """``value`` with other digits and letters of the same kind; everything else stays in place.
+    """``value`` with other digits and letters of the same kind; ASCII signs and punctuation stay in place.
 
-    The n-th digit or letter takes the n-th byte, so spaces and punctuation don't change the result.
+    The n-th replaced character takes the n-th byte, so spaces and punctuation don't change the result.
     """
 
-    def step(state: Column, c: Column) -> Column:
-        b = _byte(digest, state["n"])
-        new = (
-            F.when(c.rlike("[0-9]"), F.pmod(b, F.lit(10)).cast("string"))
-            .when(c.rlike("[a-z]"), F.char(F.lit(97) + F.pmod(b, F.lit(26))))
-            .when(c.rlike("[A-Z]"), F.char(F.lit(65) + F.pmod(b, F.lit(26))))
-        )
+    def lettered(c: Column) -> Column:
+        other = None
+        for pattern, letters in LETTERS:
+            other = F.when(c.rlike(pattern), letters) if other is None else other.when(c.rlike(pattern), letters)
+        return F.struct(c.alias("c"), F.when(c.rlike(REPLACED), other).otherwise("").alias("letters"))
+
+    def step(state: Column, x: Column) -> Column:
+        letters = x["letters"]
+        one = F.substring(letters, F.pmod(_byte(digest, state["n"]), F.length(letters)) + 1, F.lit(1))
         return F.struct(
-            F.concat(state["out"], F.coalesce(new, c)).alias("out"),
-            (state["n"] + F.when(new.isNull(), 0).otherwise(1)).alias("n"),
+            F.concat(state["out"], F.when(letters == "", x["c"]).otherwise(one)).alias("out"),
+            (state["n"] + F.when(letters == "", 0).otherwise(1)).alias("n"),
         )
 
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
-    return F.aggregate(F.split(value, ""), empty, step, lambda s: s["out"])
+    return F.aggregate(F.transform(F.split(value, ""), lettered), empty, step, lambda s: s["out"])
 
 
 def _luhn(digits: Column) -> Column:
@@ -205,14 +227,18 @@ def _with_surrogate(drawn: DataFrame, key: str) -> DataFrame:
     body = F.when(kind == "email", F.substring_index(F.lower(value), "@", 1)).otherwise(
         value.substr(F.length("kept") + 1, F.length(value))
     )
+    # Digits in front of the replaced part; and what stands for a part in which nothing can be replaced.
+    longer = F.translate(F.right(F.col("digest"), F.greatest(F.col("attempt") - (SAME_LENGTH - 1), F.lit(0))), "abcdef", "012345")
+    fresh = F.substring("digest", F.lit(1), F.greatest(F.length("body"), F.lit(8)))
     shaped = (
         drawn.withColumn("digest", F.sha2(F.concat_ws(sep, F.lit(key), kind, canonical, "attempt"), 512))
         .withColumn("host", F.sha2(F.concat_ws(sep, F.lit(key), F.lit("host"), F.substring_index(canonical, "@", -1)), 256))
         .withColumn("kept", kept).withColumn("body", body)
-        .withColumn("shaped", _shaped(F.col("body"), F.col("digest")))
+        .withColumn("drawn", _shaped(F.col("body"), F.col("digest")))
+        .withColumn("shaped", F.concat(longer, F.when(F.col("body").rlike(REPLACED), F.col("drawn")).otherwise(fresh)))
         .withColumn("number", F.concat("kept", "shaped"))
     )
-    number, digest = F.col("number"), F.col("digest")
+    number, digest, attempt = F.col("number"), F.col("digest"), F.col("attempt")
     # The last digit makes the Luhn sum of a valid number valid again.
     front = number.substr(F.lit(1), F.length(number) - 1)
     check = F.pmod(F.lit(10) - _luhn(F.concat(_digits(front), F.lit("0"))), F.lit(10)).cast("string")
@@ -224,8 +250,9 @@ def _with_surrogate(drawn: DataFrame, key: str) -> DataFrame:
         F.when(kind == "email", F.concat("shaped", F.lit("@h"), F.substring("host", 1, 6), F.lit(".example.com")))
         .when((kind == "card") & (_luhn(_digits(value)) == 0), F.concat(front, check))
         .when(kind == "ssn", F.concat(F.lit("9"), "shaped"))
-        .when(kind == "ip", ip)
-        .when(kind == "name", _name(value, digest, F.col("gender"), F.col("attempt")))
+        .when((kind == "ip") & (attempt < SAME_LENGTH), ip)
+        .when(kind == "ip", F.concat(F.lit("2001:db8:"), F.regexp_replace(F.substring(digest, 1, 24), "(.{4})(?=.)", "$1:")))
+        .when(kind == "name", _name(value, digest, F.col("gender"), attempt))
         .otherwise(number),
     ).select(*drawn.columns, "surrogate")
 

@@ -146,6 +146,28 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert not set(got) & set(got.values())
 
 
+def test_secrets_of_signs_other_scripts_and_full_shapes_end(docs):
+    told = ["password: ****", "token = ....", "pwd=-/-/-/", "password: пароль", "password: пароль1", "secret: 密码密码", "pwd=🔑🔑🔑🔑"]
+    told += ["key sk-" + "-" * 24, "mail --@x.org and __@x.org and ü.b@x.org"] + [f"pwd={n}***" for n in range(10)]
+    told += [f"{c}@one.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = {r["row"]["doc_id"]: r["new_text"] for r in pii.pseudonymised(docs(list(enumerate(told)))).collect()}
+    assert len(got) == len(set(got.values())) == len(told) and not set(got.values()) & set(told)
+    assert re.fullmatch(r"password: [0-9a-f]{8}", got[0])
+    assert re.fullmatch(r"password: [а-я]{6}", got[3]) and re.fullmatch(r"password: [а-я]{6}\d", got[4])
+    assert not any(c in "".join(got.values()) for c in "密码🔑")
+    assert all(re.fullmatch(r"pwd=\d+\*\*\*", got[n]) for n in range(9, 19))
+
+
+def test_full_value_space_of_numbers_ends(spark):
+    # All 100 phones of a shape: none is free.
+    values = [(f"+7 {n:02d}",) for n in range(100)]
+    spellings = spark.createDataFrame(values, "value string").select(
+        "value", F.lit("phone").alias("kind"), F.regexp_replace("value", r"\D", "").alias("canonical")
+    )
+    got = {r["value"]: r["surrogate"] for r in pii.surrogates(spellings).collect()}
+    assert len(got) == len(values) == len(set(got.values())) and not set(got) & set(got.values())
+
+
 def test_another_key_gives_other_surrogates(docs):
     one, two = (
         [r["new_text"] for r in pii.pseudonymised(docs([(1, "a.b@x.org")]), key=k).collect()] for k in ("k1", "k2")
