@@ -2,15 +2,19 @@
 
 A page is a tree of containers; a container's path is the tags from the root with their classes, digits made alike.
 Every page gives each of its containers a share of its running text (links count against it). The shares are summed by
-host and path, and the path with most votes is the host's article path. Pages are then read again at that path; one
-that does not have it uses its own best container.
+host and path, and the path with most votes is the host's article path. Pages are then read again at the article or
+main element around that path, or, without one, at the container above it that adds little but title and lead. A page
+that holds less than half of its text there uses its own best container, unless that one is common on the host and
+mostly not the best: a side bar.
 
 Menus, headers, footers, side bars, notices, adverts, forms, comments and scripts are cut out by tag, role and class.
+A class counts by its first or last word ("comment-list", not "has-sidebar"), and what holds most of a page's text, and
+the page's article or heading if it has one, is not cut for its class, role or form.
 Votes are small integers, summed before they are shuffled; the winning paths are broadcast only if they are few, else
 joined, where adaptive execution splits a hot host.
 
-Defined cases: null or empty html gives an empty text. A null or unreadable url is the host "" like any other host.
-Pages that repeat are each read. Ties between paths go to the path that sorts last. An empty table gives an empty
+Defined cases: null or empty html gives an empty text. Pages with a null or unreadable url have no host in
+common; each uses its own best container. Pages that repeat are each read. Ties between paths go to the path that sorts last. An empty table gives an empty
 result. Extra columns are ignored.
 """
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +51,11 @@ CUT_WORDS = frozenset(
     "topbar breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies discussion share "
     "sharing social related recommended widget login signup toolbar pagination pager".split()
 )
+# First words by which a class speaks of something else on the page ("has-sidebar").
+MODIFIERS = frozenset("has have with no not without is show hide non".split())
+ANCHORS = frozenset("article main h1".split())
+# A path on fewer than one in so many pages of a host says nothing about the host.
+COMMON = 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Which open elements a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -61,15 +71,25 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 
 
 class _Open:
-    """An open element: its path, whether it or one above it is cut out, and whether it is inside a link."""
+    """An open element: its path, whether it or one above it is cut out, whether it is inside a link, and the numbers
+    of the elements at or above it that are cut out unless they hold most of the text."""
 
-    __slots__ = ("tag", "path", "cut", "link", "article")
+    __slots__ = ("tag", "path", "cut", "link", "article", "doubts")
 
-    def __init__(self, tag, path, cut, link, article):
-        self.tag, self.path, self.cut, self.link, self.article = tag, path, cut, link, article
+    def __init__(self, tag, path, cut, link, article, doubts=()):
+        self.tag, self.path, self.cut, self.link, self.article, self.doubts = tag, path, cut, link, article, doubts
 
 
-def _opened(tag: str, attributes: str, above: _Open) -> _Open:
+def _cut_name(names: str) -> bool:
+    """Whether a class or id of ``names`` begins or ends with a word for what is no article text."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words and words[0] not in MODIFIERS and (words[0] in CUT_WORDS or words[-1] in CUT_WORDS):
+            return True
+    return False
+
+
+def _opened(tag: str, attributes: str, above: _Open, number: int) -> _Open:
     found = {}
     if attributes and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -77,31 +97,35 @@ def _opened(tag: str, attributes: str, above: _Open) -> _Open:
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     article = above.article or tag in ("article", "main")
     cut = (
-        above.cut or tag in CUT_TAGS or (tag == "header" and not above.article)
-        or found.get("role", "").lower() in CUT_ROLES or found.get("aria-hidden", "").lower() == "true"
-        or re.search(r"\bhidden\b", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) is not None
+        above.cut or (tag in CUT_TAGS and tag != "form") or (tag == "header" and not above.article)
+        or re.search(r"\bhidden\b", re.sub(r"\"[^\"]*\"|'[^']*'", "", re.sub(r"aria-hidden", "", attributes))) is not None
         or "display:none" in found.get("style", "").replace(" ", "").lower()
-        or (tag not in ("html", "body") and not CUT_WORDS.isdisjoint(re.split(r"[^a-z]+", names)))
     )
+    doubt = tag == "form" or (tag not in ("html", "body") and (
+        found.get("role", "").lower() in CUT_ROLES or found.get("aria-hidden", "").lower() == "true" or _cut_name(names)
+    ))
+    # Inside a block there is no doubt.
+    cut = cut or (doubt and tag not in BLOCKS)
+    doubts = (*above.doubts, number) if doubt and not cut else above.doubts
     path = above.path
     if tag in CONTAINERS:
-        classes = sorted(set(re.sub(r"\d+", "0", found.get("class", "").lower()).split()))
+        classes = sorted(set(re.sub(r"\d+", "0", found.get("class", "").lower()).replace("/", "_").split()))
         path = f"{path}/{'.'.join([tag, *classes])}"
-    return _Open(tag, path, cut, above.link or tag == "a", article)
+    return _Open(tag, path, cut, above.link or tag == "a", article, doubts)
 
 
 def blocks(page: str | None):
     """(paths of the container and those above it, text, characters in links) of the blocks outside what is cut."""
     page = page or ""
     root = _Open("", "", False, False, False)
-    stack, parts, linked, out = [root], [], 0, []
+    stack, parts, linked, out, anchors = [root], [], 0, [], []
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((stack[-1].path, text, min(linked, len(text))))
+                out.append((stack[-1].path, text, min(linked, len(text)), stack[-1].doubts))
             parts.clear()
         linked = 0
 
@@ -149,10 +173,17 @@ def blocks(page: str | None):
                         break
                 if name in SCOPE:
                     break
-        stack.append(_opened(tag, match.group(4), stack[-1]))
+        stack.append(_opened(tag, match.group(4), stack[-1], at))
+        if tag in ANCHORS and not stack[-1].cut:
+            anchors.append(stack[-1].doubts)
     add(page[at:])
     flush()
-    return out
+    held = Counter()
+    for _, text, _, doubts in out:
+        held.update(dict.fromkeys(doubts, len(text)))
+    total = sum(len(text) for _, text, _, _ in out)
+    gone = {n for n, size in held.items() if 2 * size <= total or (anchors and not any(n in a for a in anchors))}
+    return [(path, text, n) for path, text, n, doubts in out if gone.isdisjoint(doubts)]
 
 
 def _above(path: str):
@@ -169,40 +200,87 @@ def votes(page: str | None) -> list[tuple[str, int]]:
     A container passes a third of its score to the one above it, so that text split over several
     parts is found together. An article element counts double.
     """
+    return _shares(blocks(page))
+
+
+def _shares(found: list[tuple[str, str, int]]) -> list[tuple[str, int]]:
     scores: dict[str, float] = {}
-    for path, text, linked in blocks(page):
+    for path, text, linked in found:
         score = max(0, len(text) - 3 * linked)
         for level, p in zip(range(3), _above(path)):
-            bonus = 2 if p.rpartition("/")[2].split(".")[0] in ("article", "main") else 1
+            bonus = 2 if _tag(p) in ("article", "main") else 1
             scores[p] = scores.get(p, 0.0) + bonus * score / 3**level
     total = sum(scores.values())
     return [(p, round(1000 * s / total)) for p, s in sorted(scores.items())] if total else []
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """The text at ``path``, or, where the page has nothing there, at its own best container."""
+def _tag(path: str) -> str:
+    return path.rpartition("/")[2].split(".")[0]
+
+
+def _best(shares: list[tuple[str, int]]) -> str:
+    return max(shares, key=lambda v: (v[1], v[0]), default=("", 0))[0]
+
+
+def _inside(found: list[tuple[str, str, int]], path: str) -> list[tuple[str, str, int]]:
+    return [b for b in found if b[0] == path or b[0].startswith(f"{path}/")]
+
+
+def _running(found: list[tuple[str, str, int]]) -> int:
+    return sum(max(0, len(text) - 3 * linked) for _, text, linked in found)
+
+
+def lifted(found: list[tuple[str, str, int]], path: str) -> str:
+    """The nearest article or main element at or above ``path``; without one, the container above it, below the body,
+    whose other text is at most a quarter of what ``path`` holds and not mostly links."""
+    for p in _above(path):
+        if _tag(p) in ("article", "main"):
+            return p
+    parent = path.rpartition("/")[0]
+    while _tag(parent) not in ("", "html", "body"):
+        mine, all_ = _inside(found, path), _inside(found, parent)
+        size, links = ([sum(f(b) for b in x) for x in (mine, all_)] for f in (lambda b: len(b[1]), lambda b: b[2]))
+        more = size[1] - size[0]
+        if 4 * more > size[0] or 2 * (links[1] - links[0]) > more:
+            break
+        path, parent = parent, parent.rpartition("/")[0]
+    return path
+
+
+def extract(page: str | None, path: str | None, rejected=()) -> str:
+    """The text around ``path``, or, where the page has nothing there, around its own best container; also where it
+    has less than half of its text there, unless that container is one of the host's ``rejected`` ones."""
     found = blocks(page)
-    own = [b for b in found if path is not None and (b[0] == path or b[0].startswith(f"{path}/"))]
-    if not own and found:
-        best = max(votes(page), key=lambda v: (v[1], v[0]), default=("", 0))[0]
-        own = [b for b in found if b[0] == best or b[0].startswith(f"{best}/")]
+    own = _inside(found, path) and _inside(found, lifted(found, path)) if path is not None else []
+    if found and (not own or 2 * _running(own) < _running(found)):
+        best = _best(_shares(found))
+        if not own or best not in rejected:
+            other = _inside(found, lifted(found, best))
+            own = other if not own or _running(other) > _running(own) else own
     return "\n".join(text for _, text, _ in own)
 
 
 def _votes_of(page):
-    @F.pandas_udf("array<struct<path:string,share:bigint>>")
+    def ballot(x):
+        shares = votes(x)
+        best = _best(shares)
+        return [{"path": p, "share": s, "best": int(p == best)} for p, s in shares]
+
+    @F.pandas_udf("array<struct<path:string,share:bigint,best:bigint>>")
     def udf(pages: pd.Series) -> pd.Series:
-        return pd.Series([[{"path": p, "share": s} for p, s in votes(x)] for x in pages], dtype=object)
+        return pd.Series([ballot(x) for x in pages], dtype=object)
 
     return udf(page)
 
 
-def _extracted(page, path):
+def _extracted(page, path, rejected):
     @F.pandas_udf("string")
-    def udf(pages: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([extract(x, p) for x, p in zip(pages, paths)], dtype=object)
+    def udf(pages: pd.Series, paths: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series(
+            [extract(x, p, () if r is None else set(r)) for x, p, r in zip(pages, paths, others)], dtype=object
+        )
 
-    return udf(page, path)
+    return udf(page, path, rejected)
 
 
 def _host(url):
@@ -210,10 +288,18 @@ def _host(url):
 
 
 def host_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, path): the path each host's pages vote for."""
-    ballots = pages.select(_host(F.col(url)).alias("host"), F.explode(_votes_of(F.col(page))).alias("v"))
-    counted = ballots.groupBy("host", "v.path").agg(F.sum("v.share").alias("votes"))
-    return counted.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+    """(host, path, rejected): the path each host's pages vote for, and the common ones that are mostly not the best."""
+    ballots = pages.select(_host(F.col(url)).alias("host"), F.explode(_votes_of(F.col(page))).alias("v")).where("host <> ''")
+    counted = checkpointed(ballots.groupBy("host", "v.path").agg(
+        F.sum("v.share").alias("votes"), F.count(F.lit(1)).alias("n"), F.sum("v.best").alias("best")
+    ))
+    winners = counted.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("w"), F.sum("best").alias("pages"))
+    # A page has few paths, so few can be common.
+    losers = (
+        counted.join(winners.select("host", "pages"), "host").where((F.col("n") * COMMON >= F.col("pages")) & (F.col("best") * 2 <= F.col("n")))
+        .groupBy("host").agg(F.collect_list("path").alias("rejected"))
+    )
+    return winners.join(losers, "host", "left").select("host", F.col("w.path").alias("path"), "rejected")
 
 
 def main_texts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -222,7 +308,7 @@ def main_texts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFr
     few = winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     rows = wrapped(pages, _page=page, _url=url).withColumn("host", _host(F.col("_url")))
     joined = rows.join(F.broadcast(winners) if few else winners, "host", "left")
-    return joined.select("row", "host", "path", _extracted(F.col("_page"), F.col("path")).alias("main_text"))
+    return joined.select("row", "host", "path", _extracted(F.col("_page"), F.col("path"), F.col("rejected")).alias("main_text"))
 
 
 def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,37 @@ def test_hosts_agree_on_a_path(spark):
     assert got[1] == " ".join(["text 1"] * 40)
 
 
+def test_whole_articles_of_mixed_hosts(spark):
+    def nested(n):
+        return (
+            f"<body><article><h1>Title {n}</h1><p>Lead {n}</p><div class='body'><p>{f'story {n} ' * 60}</p></div>"
+            f"<section class='more'><p>More {n}</p></section></article><div class='side'><p>{'s ' * 30}</p></div></body>"
+        )
+
+    # Another template, with a little text at the path of the first one.
+    other = f"<body><article><div class='body'><p>note</p></div></article><div class='post'><p>{'long text ' * 50}</p></div></body>"
+    plain = f"<body><div class='page'><h1>Head</h1><div class='text'><p>{'words ' * 60}</p></div></div></body>"
+    pages = [(n, "http://a.org/x", nested(n)) for n in range(3)] + [(3, "http://a.org/y", other)]
+    pages += [(4, None, plain), (5, None, nested(5)), (6, "no url", f"<div class='b'><p>{'other ' * 90}</p></div>")]
+    found = html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {r["row"]["page_id"]: r["main_text"] for r in found.collect()}
+    for n in (0, 1, 2, 5):
+        assert got[n] == f"Title {n}\nLead {n}\n{' '.join([f'story {n}'] * 60)}\nMore {n}"
+    assert got[3] == " ".join(["long text"] * 50)
+    assert got[4] == "Head\n" + " ".join(["words"] * 60) and got[6] == " ".join(["other"] * 90)
+
+
+@pytest.mark.parametrize("attributes", [
+    "class='content has-sidebar'", "class='main with-comments'", "class='article-share-wrapper'", "class='sidebar'",
+    "role='dialog'", "aria-hidden='true'",
+])
+def test_what_holds_the_text_is_not_cut(attributes):
+    page = f"<body><div {attributes}><h1>T</h1><p>{'text ' * 50}</p><div class='comment-list'><p>c</p></div></div><p>end</p></body>"
+    assert html_text.extract(page, None) == "T\n" + " ".join(["text"] * 50)
+    # A longer side bar stays out where there is a heading elsewhere.
+    assert html_text.extract(f"<h1>T</h1><p>text</p><div {attributes.replace('content has-', '')}></div><div id='comments'>{'c ' * 99}</div>", None) == "T\ntext"
+
+
 # Tokenizers
 
 
