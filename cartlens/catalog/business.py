@@ -258,6 +258,6 @@ def snapshot_timestamp(spark, sf_dir):
 @query("business_report")
 def report(spark, sf_dir):
     """The three analyses end to end; the ROI rows are what comes out last."""
-    segmentation = segment_customers(star_facts(spark, sf_dir), max_k=5, restarts=1, compare=False)
+    segmentation = segment_customers(star_facts(spark, sf_dir))
     found = mine_baskets(segmentation.clean, "sub_category", min_support=0.01, min_confidence=0.1)
     return business_report(segmentation.clean, segmentation.customers, segmentation.personas, found.rules).projection
