@@ -2,7 +2,9 @@
 
 A word's features are itself and its character 2- to 4-grams with word marks, hashed into buckets; a text is the mean
 of the bucket embeddings of all its words, and a linear layer with softmax gives the languages. Embeddings and layer
-are trained by stochastic gradient descent in numpy on a bounded sample. Another bounded sample sets the temperature of
+are trained by stochastic gradient descent in numpy on a bounded sample: a bounded number of rows of every language,
+spread over its sources, so a rare language is learned at every size. Another bounded sample, uniform over the rows as
+the share of right predictions is meant for the corpus as it is, sets the temperature of
 the softmax and the score from which predictions are accepted.
 
 For prediction, the linear layer is applied to the embeddings once, which leaves one small vector per bucket. Texts
@@ -21,13 +23,18 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartlens.llm.common import table, words_of, worker_state, wrapped
+from cartlens.session import checkpointed
 
-# Bounds of the training sample: rows, and words of each (evenly spread over the whole text).
+# Bounds of the training sample: rows, and words of each (evenly spread over the whole text). Languages get equal
+# parts of the rows, what a rare one leaves goes to the others, and none gets fewer than LANGUAGE_ROWS if it has them.
 TRAIN_ROWS = 1000
+LANGUAGE_ROWS = 20
+# So many times the rows are drawn by hash before the exact number is taken.
+DRAWN = 3
 CALIBRATION_ROWS = 500
 TRAIN_WORDS = 150
 
@@ -170,31 +177,86 @@ def calibrated(model: Model, rows: list[tuple[list[str], int]]) -> Model:
     return model
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    return docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select(
+        "doc_id", "text", "lang", source.alias("source")
+    )
+
+
+def _pieces(chosen: DataFrame) -> list[tuple[list[str], str]]:
+    """Words and language of rows (doc_id, text, lang), with at most about ``TRAIN_WORDS`` words spread over each text."""
+    # Every n-th word, by place: each is looked up once.
+    ws = F.col("_ws")
+    every = F.greatest(F.ceil(F.size(ws) / TRAIN_WORDS), F.lit(1)).cast("int")
+    places = F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws), every))
+    spread = F.array_join(F.transform(places, lambda i: F.element_at(ws, i)), " ")
+    rows = (
+        chosen.select("doc_id", "lang", words_of(F.col("text")).alias("_ws"))
+        .select("doc_id", F.coalesce(spread, F.lit("")).alias("piece"), "lang").collect()
+    )
+    return [(text_words(r["piece"]), r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"]))]
+
+
 def sample(docs: DataFrame, rows: int, salt: int) -> list[tuple[list[str], str]]:
-    """At most ``rows`` labelled rows (doc_id, text, lang), chosen by a hash of the id, with at most ``TRAIN_WORDS``
-    words spread over each text."""
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
+    """At most ``rows`` labelled rows (doc_id, text, lang), uniform by a hash of the id."""
+    labelled = _labelled(docs)
     total = labelled.count()
     if not total:
         return []
     place = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000))
     share = min(1_000_000, int(1_000_000 * rows / total * 0.9) + 1) if total > rows else 1_000_000
-    # Every n-th word, by place: each is looked up once.
-    ws = F.col("_ws")
-    every = F.greatest(F.ceil(F.size(ws) / TRAIN_WORDS), F.lit(1)).cast("int")
-    places = F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws), every))
-    spread = F.array_join(F.transform(places, lambda i: F.element_at(ws, i)), " ")
-    chosen = (
-        labelled.where(place < share).select("doc_id", "lang", words_of(F.col("text")).alias("_ws"))
-        .select("doc_id", F.coalesce(spread, F.lit("")).alias("piece"), "lang").limit(rows).collect()
+    return _pieces(labelled.where(place < share).limit(rows))
+
+
+def quota(counts: list[int], rows: int) -> int:
+    """The number of rows a language may have so that all have ``rows`` together; at least ``LANGUAGE_ROWS``."""
+    left = rows
+    for k, n in enumerate(sorted(counts)):
+        part = left // (len(counts) - k)
+        if n > part:
+            return max(part, LANGUAGE_ROWS)
+        left -= n
+    return max(rows, LANGUAGE_ROWS)
+
+
+def sample_by_language(docs: DataFrame, held: Column, rows: int, salt: int) -> list[tuple[list[str], str]]:
+    """Rows of every language, as many as ``quota`` says, taken from its sources in turn by a hash of the id.
+
+    Rows that are ``held`` serve only languages without others. Ids that repeat count once. The draw by hash is a join of
+    ids with the counts by language and source; texts are read only for the rows that are taken.
+    """
+    labelled = _labelled(docs).withColumn("held", held)
+    counts = labelled.groupBy("lang", "source", "held").agg(F.approx_count_distinct("doc_id").alias("n"))
+    counts = checkpointed(counts)
+    langs = counts.groupBy("lang").agg(
+        F.min("held").alias("held"), F.sum(F.when(~F.col("held"), F.col("n"))).alias("rest"), F.sum("n").alias("n"),
+    ).select("lang", "held", F.coalesce("rest", "n").alias("n_lang"))
+    most = quota([r["n_lang"] for r in langs.select("n_lang").collect()], rows)
+    sources = counts.join(langs, ["lang", "held"])
+    n_sources = sources.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sources"))
+    # Both a draw of equal size from each source and one uniform over the language.
+    share = DRAWN * most * F.greatest(1 / (F.col("n_sources") * F.col("n")), 1 / F.col("n_lang"))
+    shares = sources.join(n_sources, "lang").select("lang", "source", "held", share.alias("share"))
+    place = F.xxhash64("doc_id", F.lit(salt))
+    drawn = (
+        labelled.join(shares, ["lang", "source", "held"]).where(F.pmod(place, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+        .select("doc_id", "lang", "source", place.alias("place")).distinct()
+    )
+    turn = F.row_number().over(Window.partitionBy("lang", "source").orderBy("place", "doc_id"))
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "place", "doc_id", "source"))
+    taken = checkpointed(
+        drawn.withColumn("turn", turn).withColumn("at", at).where(F.col("at") <= most).select("doc_id", "lang", "source")
     )
-    return [(text_words(r["piece"]), r["lang"]) for r in sorted(chosen, key=lambda r: (r["doc_id"], r["piece"]))]
+    chosen = labelled.join(F.broadcast(taken), ["doc_id", "lang", "source"])
+    return _pieces(chosen.groupBy("doc_id", "lang", "source").agg(F.min("text").alias("text")))
 
 
 def fitted(docs: DataFrame) -> Model:
-    """A model from rows (doc_id, text, lang); the calibration rows are not trained on."""
+    """A model from rows (doc_id, text, lang), and source where there is one; calibration rows are not trained on, but
+    for languages that have no others."""
     held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0
-    return train(sample(docs.where(~held), TRAIN_ROWS, 1), sample(docs.where(held), CALIBRATION_ROWS, 2))
+    return train(sample_by_language(docs, held, TRAIN_ROWS, 1), sample(docs.where(held), CALIBRATION_ROWS, 2))
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -220,6 +282,6 @@ def predicted_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: the language of every document, by a model that never saw the held-out third."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    model = fitted(docs.where(~held_out).select("doc_id", "text", "lang"))
+    model = fitted(docs.where(~held_out).select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]))
     found = identified(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return found.select("row.doc_id", "row.held_out", "lang_pred", F.col("lang_score").alias("score"), "accepted")

@@ -272,6 +272,21 @@ def test_languages_of_odd_texts(docs):
     assert got == {(1, "und"): 1, (2, "und"): 1, (3, "und"): 1, (4, "de"): 2}
 
 
+def test_rare_languages_and_sources_are_learned_at_every_size(spark):
+    # 30,000 rows of one language, nearly all of one source, beside 30 rows of another and one row of a third.
+    rows = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("the house of "), F.col("id").cast("string")).alias("text"),
+        F.lit("en").alias("lang"), F.when(F.col("id") % 1000 == 0, "small").otherwise("hot").alias("source"),
+    )
+    rare = [(100_000 + n, f"das haus und der hund {n}", "de", "x") for n in range(30)] + [(200_000, "casa y perro", "es", "y")]
+    rows = rows.unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string, source string"))
+    assert languages.fitted(rows).languages == ["de", "en", "es"]
+    got = languages.sample_by_language(rows.where("lang <> 'es'"), F.lit(False), 100, 1)
+    found = Counter(lang for _, lang in got)  # counts of ids are approximate
+    assert found["de"] == 30 and 60 <= found["en"] <= 80
+    assert languages.quota([5, 1000, 1000], 105) == 50 and languages.quota([1000] * 50, 100) == languages.LANGUAGE_ROWS
+
+
 def test_nothing_to_learn_from(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     found = languages.identified(docs([(1, "a")]), languages.fitted(empty)).collect()
