@@ -10,7 +10,8 @@ they are joined; one that occurs everywhere is one row in the table of surrogate
 
 Surrogates by type: mail addresses keep the shape of the local part and get hosts below example.com; phone numbers keep
 their country code and punctuation; card numbers keep the first digit and a valid check digit; other numbers keep their
-length; US social security numbers start with 9, which is never issued; IPv4 addresses come from the reserved 240/4;
+length; US social security numbers start with 9, which is never issued; IPv4 addresses come from the reserved 240/4, IPv6
+from 2001:db8::/32, kept for documents;
 keys and secrets keep their prefix, letter case, scripts and length, and those in which
 nothing can be replaced ("****") become hexadecimal digits; names after a title keep the title and get names of its
 gender in the script of the name.
@@ -81,16 +82,25 @@ SAME_LENGTH = 3
 _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _SECRET = r"(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\"?"
 
+# Characters of a mail address before the sign: those of scripts that put spaces between words, and the other ones.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_LOCAL = rf"[\p{{L}}\p{{M}}\p{{N}}._%+\-&&[^{_UNSPACED[1:-1]}]]"
+_HOST = r"[\p{L}\p{M}\p{N}\-]+(?:\.[\p{L}\p{M}\p{N}\-]+)*\.\p{L}[\p{L}\p{M}]+"
+_HEX = "[0-9A-Fa-f]{1,4}"
+
 # Types in the order in which they are tried; the first that matches at a place wins.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?:(?<!{_LOCAL}){_LOCAL}+|(?<!{_UNSPACED}){_UNSPACED}+)@{_HOST}",
     "secret": rf"(?i:{_SECRET})[^\s\"]{{4,}}",
     "key": r"\b(?:AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z\-]{20,})",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9\-.])[0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4}(?![0-9])",
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9\-.])[0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4}(?![0-9])"
+    r"|(?<![0-9\-.])(?<![0-9][ ])[0-9]{3} [0-9]{3}[ .\-][0-9]{4}(?![0-9]| [0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+    rf"|(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::{_HEX}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:)"
+    r"(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "name": rf"\b(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
 }
@@ -133,7 +143,7 @@ def _canonical(kind: Column, value: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), _digits(value))
         .when(kind == "secret", _after(value, f"(?i:{_SECRET})"))
         .when(kind == "name", F.lower(_after(value, rf"(?:{_TITLES})\.? ")))
-        .when(kind == "email", F.lower(value))
+        .when(kind.isin("email", "ip"), F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .otherwise(value)
     )
@@ -250,7 +260,7 @@ def _with_surrogate(drawn: DataFrame, key: str) -> DataFrame:
         F.when(kind == "email", F.concat("shaped", F.lit("@h"), F.substring("host", 1, 6), F.lit(".example.com")))
         .when((kind == "card") & (_luhn(_digits(value)) == 0), F.concat(front, check))
         .when(kind == "ssn", F.concat(F.lit("9"), "shaped"))
-        .when((kind == "ip") & (attempt < SAME_LENGTH), ip)
+        .when((kind == "ip") & (attempt < SAME_LENGTH) & ~value.contains(":"), ip)
         .when(kind == "ip", F.concat(F.lit("2001:db8:"), F.regexp_replace(F.substring(digest, 1, 24), "(.{4})(?=.)", "$1:")))
         .when(kind == "name", _name(value, digest, F.col("gender"), attempt))
         .otherwise(number),

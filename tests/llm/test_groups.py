@@ -158,6 +158,20 @@ def test_secrets_of_signs_other_scripts_and_full_shapes_end(docs):
     assert all(re.fullmatch(r"pwd=\d+\*\*\*", got[n]) for n in range(9, 19))
 
 
+def test_spaced_phones_ipv6_and_mail_of_every_script(docs):
+    told = [
+        "call 203 555 8282 now", "from fe80::1ff:fe23:4567:890a and 2001:0DB8:85a3:0:0:8a2e:370:7334", "mail jürgen.müller@köln.de",
+        "письмо иван.петров@почта.рф", "邮件 用户@x.org 请联系张三a.b@x.org", "at 10:20:30, std::vector and 1 100 200 3000",
+    ]
+    got = {r["row"]["doc_id"]: r["new_text"] for r in pii.pseudonymised(docs(list(enumerate(told)))).collect()}
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4} now", got[0]) and "555 8282" not in got[0]
+    assert re.fullmatch(r"from 2001:db8:[0-9a-f:]+ and 2001:db8:[0-9a-f:]+", got[1]) and "fe80" not in got[1] and "8a2e" not in got[1]
+    assert re.fullmatch(r"mail [a-z.]+@h\w+\.example\.com", got[2])
+    assert re.fullmatch(r"письмо [а-я]+\.[а-я]+@h\w+\.example\.com", got[3])
+    assert "用户" not in got[4] and "请联系张三" in got[4] and "a.b@" not in got[4]
+    assert got[5] == told[5]
+
+
 def test_full_value_space_of_numbers_ends(spark):
     # All 100 phones of a shape: none is free.
     values = [(f"+7 {n:02d}",) for n in range(100)]
