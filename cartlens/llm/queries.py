@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cartlens.llm import (
     bpe, chat_tools, decontaminate, html_text, languages, licenses, pii, quality_rules, simhash, token_counts,
+    trie,
 )
 
 QUERIES = {
@@ -17,6 +18,11 @@ QUERIES = {
     "op8_token_counts": token_counts.token_counts,
     "op9_languages": languages.predicted_languages,
     "op10_near_duplicates": simhash.near_duplicates,
+    "op11_conversation_trie": trie.conversation_trie,
 }
 
-SQL = {"op1_tool_calls": chat_tools.SQL, "op2_quality_ledger": quality_rules.SQL}
+SQL = {
+    "op1_tool_calls": chat_tools.SQL,
+    "op2_quality_ledger": quality_rules.SQL,
+    "op11_conversation_trie": trie.SQL,
+}
