@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cartlens.llm import (
-    bpe, chat_tools, decontaminate, html_text, languages, licenses, pii, quality_rules, simhash, token_counts,
+    bpe, chat_tools, decontaminate, html_text, languages, licenses, merkle, pii, quality_rules, simhash, token_counts,
     trie,
 )
 
@@ -19,10 +19,12 @@ QUERIES = {
     "op9_languages": languages.predicted_languages,
     "op10_near_duplicates": simhash.near_duplicates,
     "op11_conversation_trie": trie.conversation_trie,
+    "op12_dataset_manifest": merkle.document_manifest,
 }
 
 SQL = {
     "op1_tool_calls": chat_tools.SQL,
     "op2_quality_ledger": quality_rules.SQL,
     "op11_conversation_trie": trie.SQL,
+    "op12_dataset_manifest": merkle.SQL,
 }
