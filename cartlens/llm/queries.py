@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from cartlens.llm import (
-    bpe, chat_tools, decontaminate, html_text, languages, licenses, merkle, pii, quality_rules, simhash, token_counts,
-    trie,
+    bpe, chat_tools, decontaminate, html_text, languages, licenses, merkle, packing, pii, quality_rules, simhash,
+    token_counts, trie,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_near_duplicates": simhash.near_duplicates,
     "op11_conversation_trie": trie.conversation_trie,
     "op12_dataset_manifest": merkle.document_manifest,
+    "op13_packed_documents": packing.packed_documents,
 }
 
 SQL = {
