@@ -68,11 +68,11 @@ class TokenCounter:
 
     def _count_part(self, text: str) -> int:
         # With single spaces and line ends only, no pre-token spans two words: a space belongs to the word behind it,
-        # a line end is a pre-token of its own.
-        breaks = text.count("\n")
-        if len(text.split()) != text.count(" ") + breaks + 1:
+        # a line end is a pre-token of its own. The two ways to split differ where any other white space is, or two
+        # of these stand together or at an end.
+        if text.replace("\n", " ").split(" ") != text.split():
             return self.count_plain(text)
-        total, known = breaks * self.known["\n"], self.known
+        total, known = text.count("\n") * self.known["\n"], self.known
         for line in text.split("\n"):
             first, *others = line.split(" ")
             total += known[first]

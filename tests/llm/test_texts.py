@@ -281,9 +281,30 @@ def test_rare_languages_and_sources_are_learned_at_every_size(spark):
     rare = [(100_000 + n, f"das haus und der hund {n}", "de", "x") for n in range(30)] + [(200_000, "casa y perro", "es", "y")]
     rows = rows.unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string, source string"))
     assert languages.fitted(rows).languages == ["de", "en", "es"]
-    got = languages.sample_by_language(rows.where("lang <> 'es'"), F.lit(False), 100, 1)
-    found = Counter(lang for _, lang in got)  # counts of ids are approximate
-    assert found["de"] == 30 and 60 <= found["en"] <= 80
+    labelled = languages._labelled(rows.where("lang <> 'es'"), F.lit(False))
+    drawn = languages.by_language(labelled, 100, 1).collect()
+    found = Counter(r["lang"] for r in drawn)
+    assert found["de"] == 30 and found["en"] == 70
+    assert Counter(r["source"] for r in drawn)["small"] >= 25
+    assert [r["doc_id"] for r in languages.uniform(labelled, 50, 2).collect()] == [
+        r["doc_id"] for r in languages.uniform(labelled.repartition(7), 50, 2).collect()
+    ]
+
+
+def test_long_texts_and_forgotten_words():
+    """Whole texts count: the language of the tail decides, and a full table of words changes nothing."""
+    model = languages.train([(["the", "and", "of"], "en"), (["der", "und", "die"], "de")] * 20, [])
+    text = "the and " * 3 + "der und " * 100_000
+    full, small = languages.Scorer(model), languages.Scorer(model, languages.PIECE_WORDS)
+    assert full.predict(text)[0] == "de"
+    texts = [text, *(f"the{n} und{n * 7} of{n * 3}" * (n % 3000) for n in range(0, 9000, 450))]
+    assert [full.predict(t) for t in texts] == [small.predict(t) for t in texts]
+    assert languages.Scorer(model).predict("x" * 1_000_000)[1] <= 1
+
+
+def test_memory_does_not_grow_with_the_languages():
+    rows = [([f"w{n}", f"v{n}"], f"l{n:03}") for n in range(300)]
+    assert languages.Scorer(languages.train(rows, [], epochs=1)).values.shape[1] == languages.DIMENSIONS + 1
     assert languages.quota([5, 1000, 1000], 105) == 50 and languages.quota([1000] * 50, 100) == languages.LANGUAGE_ROWS
 
 
