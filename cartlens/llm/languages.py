@@ -2,13 +2,14 @@
 
 A word's features are itself and its character 2- to 4-grams with word marks, hashed into buckets; a text is the mean
 of the bucket embeddings of all its words, and a linear layer with softmax gives the languages. Embeddings and layer
-are trained by stochastic gradient descent in numpy on a bounded sample: a bounded number of rows of every language,
-spread over its sources, so a rare language is learned at every size. Another bounded sample, uniform over the rows as
-the share of right predictions is meant for the corpus as it is, sets the temperature of
-the softmax and the score from which predictions are accepted.
+are trained by stochastic gradient descent in numpy on the whole texts of a bounded number of rows: as many of every
+language, spread over its sources, so a rare language is learned at every size. Another bounded sample, uniform over the
+rows as the share of right predictions is meant for the corpus as it is, sets the temperature of the softmax and the
+score from which predictions are accepted.
 
-For prediction, the linear layer is applied to the embeddings once, which leaves one small vector per bucket. Texts
-are read whole, in one pass and without a shuffle.
+The rows are drawn from a table of ids, languages and sources, written once; texts are read for the drawn rows, and
+once more, whole, in one pass and without a shuffle, to be predicted. A task remembers words by the sum of their
+embeddings, so its memory does not depend on the number of languages, and looks at long texts piece by piece.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Without any labelled row everything is
 ``und``. Rows without id are never learned from; repeated rows get equal results; extra columns are ignored.
@@ -20,29 +21,33 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import table, words_of, worker_state, wrapped
+from cartlens.llm.common import BoundedCache, table, worker_state, wrapped
 from cartlens.session import checkpointed
 
-# Bounds of the training sample: rows, and words of each (evenly spread over the whole text). Languages get equal
-# parts of the rows, what a rare one leaves goes to the others, and none gets fewer than LANGUAGE_ROWS if it has them.
+# Rows of the training sample. Languages get equal parts of them, what a rare one leaves goes to the others, and none
+# gets fewer than LANGUAGE_ROWS if it has them.
 TRAIN_ROWS = 1000
 LANGUAGE_ROWS = 20
 # So many times the rows are drawn by hash before the exact number is taken.
 DRAWN = 3
 CALIBRATION_ROWS = 500
-TRAIN_WORDS = 150
+# Ids of drawn rows up to which they are broadcast; there are more only with very many languages.
+BROADCAST_ROWS = 20_000
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-EPOCHS = 4
+EPOCHS = 2
 RATE = 0.5
 BATCH_WORDS = 50
+# Words of a text that are looked at together.
+PIECE_WORDS = 5000
 # Share of accepted predictions that should be right on the calibration sample.
 TARGET_PRECISION = 0.99
 
@@ -62,14 +67,16 @@ def features(word: str) -> list[int]:
 
 
 class Model:
-    """Summed scores per bucket, after training; ``table`` is buckets x languages."""
+    """Embeddings (buckets x dimensions) and the linear layer (dimensions x languages, and a bias) after training."""
 
-    def __init__(self, languages: list[str], table_: np.ndarray, bias: np.ndarray, temperature: float, accept: float):
-        self.languages, self.table, self.bias = languages, table_, bias
+    def __init__(
+        self, languages: list[str], embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float, accept: float
+    ):
+        self.languages, self.embeddings, self.weights, self.bias = languages, embeddings, weights, bias
         self.temperature, self.accept = temperature, accept
 
     def logits(self, sums: np.ndarray, n: int) -> np.ndarray:
-        return sums / max(n, 1) + self.bias
+        return sums / max(n, 1) @ self.weights + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = (logits - logits.max()) / self.temperature
@@ -83,31 +90,31 @@ class Scorer:
     def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit = model, limit
         self.places: dict[str, int] = {}
-        self.values = np.zeros((limit, len(model.languages) + 1), dtype=np.float64)
+        # The sum of a word's embeddings, and their number.
+        self.values = np.zeros((limit, DIMENSIONS + 1), dtype=np.float32)
 
     def _place(self, word: str) -> int:
         place = self.places.get(word)
         if place is None:
-            if len(self.places) >= self.limit:
-                return -1
             place = self.places[word] = len(self.places)
-            self.values[place] = self._value(word)
+            buckets = features(word)
+            self.values[place, :-1] = self.model.embeddings[buckets].sum(axis=0)
+            self.values[place, -1] = len(buckets)
         return place
 
-    def _value(self, word: str) -> np.ndarray:
-        buckets = features(word)
-        return np.append(self.model.table[buckets].sum(axis=0), len(buckets))
-
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = text_words(text)
-        if not any(map(str.isalpha, found)) or not self.model.languages:
+        if not self.model.languages:
+            return UNKNOWN, 0.0
+        words, letters = map(re.Match.group, LETTERS.finditer((text or "").lower())), False
+        sums = np.zeros(DIMENSIONS + 1)
+        while piece := list(islice(words, PIECE_WORDS)):
+            letters = letters or any(map(str.isalpha, piece))
+            if len(self.places) + len(piece) > self.limit:
+                self.places.clear()
+            places = np.fromiter(map(self._place, piece), dtype=np.int64, count=len(piece))
+            sums += self.values[places].sum(axis=0, dtype=np.float64)
+        if not letters:
             return UNKNOWN, 0.0
-        if len(self.places) > 0.9 * self.limit:
-            self.places.clear()
-        places = np.fromiter(map(self._place, found), dtype=np.int64, count=len(found))
-        sums = self.values[places[places >= 0]].sum(axis=0)
-        for i in np.flatnonzero(places < 0):
-            sums = sums + self._value(found[i])
         p = self.model.probabilities(self.model.logits(sums[:-1], sums[-1]))
         best = int(p.argmax())
         return self.model.languages[best], float(min(1.0, p[best]))
@@ -119,15 +126,15 @@ def train(
     """Fit on (words, language) rows; the steps see short pieces of texts, so that short texts are learned too."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((BUCKETS, DIMENSIONS)), np.zeros((DIMENSIONS, 0)), np.zeros(0), 1.0, 1.0)
     number = {lang: n for n, lang in enumerate(languages)}
     random = np.random.default_rng(seed)
     embeddings = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     weights, bias = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
-    pieces = []
+    pieces, known = [], BoundedCache(features, 200_000)
     for found, lang in rows:
         for start in range(0, len(found), BATCH_WORDS):
-            counts = Counter(b for w in found[start : start + BATCH_WORDS] for b in features(w))
+            counts = Counter(b for w in found[start : start + BATCH_WORDS] for b in known[w])
             if counts:
                 n = np.fromiter(counts.values(), dtype=np.float64)
                 pieces.append((np.fromiter(counts.keys(), dtype=np.int64), n / n.sum(), number[lang]))
@@ -147,7 +154,7 @@ def train(
             bias -= rate * p
             # Each bucket occurs once in a piece, so plain indexing adds up rightly.
             embeddings[buckets] -= (rate * len(buckets)) * np.outer(share, back)
-    model = Model(languages, embeddings @ weights, bias, 1.0, 0.0)
+    model = Model(languages, embeddings.astype(np.float32), weights, bias, 1.0, 0.0)
     return calibrated(model, [(w, number[lang]) for w, lang in calibration if lang in number])
 
 
@@ -157,7 +164,7 @@ def calibrated(model: Model, rows: list[tuple[list[str], int]]) -> Model:
     for found, target in rows:
         buckets = [b for w in found for b in features(w)]
         if buckets:
-            logits.append(model.logits(model.table[buckets].sum(axis=0), len(buckets)))
+            logits.append(model.logits(model.embeddings[buckets].sum(axis=0, dtype=np.float64), len(buckets)))
             targets.append(target)
     if not logits:
         return model
@@ -177,36 +184,20 @@ def calibrated(model: Model, rows: list[tuple[list[str], int]]) -> Model:
     return model
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
+def _labelled(docs: DataFrame, held: Column) -> DataFrame:
+    """(doc_id, lang, source, held) of the rows one can learn from, once per id, written down."""
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    return docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select(
-        "doc_id", "text", "lang", source.alias("source")
-    )
-
-
-def _pieces(chosen: DataFrame) -> list[tuple[list[str], str]]:
-    """Words and language of rows (doc_id, text, lang), with at most about ``TRAIN_WORDS`` words spread over each text."""
-    # Every n-th word, by place: each is looked up once.
-    ws = F.col("_ws")
-    every = F.greatest(F.ceil(F.size(ws) / TRAIN_WORDS), F.lit(1)).cast("int")
-    places = F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.size(ws), every))
-    spread = F.array_join(F.transform(places, lambda i: F.element_at(ws, i)), " ")
-    rows = (
-        chosen.select("doc_id", "lang", words_of(F.col("text")).alias("_ws"))
-        .select("doc_id", F.coalesce(spread, F.lit("")).alias("piece"), "lang").collect()
-    )
-    return [(text_words(r["piece"]), r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"]))]
+    return checkpointed(docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select(
+        "doc_id", "lang", source.alias("source"), held.alias("held")
+    ).distinct())
 
 
-def sample(docs: DataFrame, rows: int, salt: int) -> list[tuple[list[str], str]]:
-    """At most ``rows`` labelled rows (doc_id, text, lang), uniform by a hash of the id."""
-    labelled = _labelled(docs)
+def uniform(labelled: DataFrame, rows: int, salt: int) -> DataFrame:
+    """At most ``rows`` of ``labelled``, the first by a hash of the id."""
     total = labelled.count()
-    if not total:
-        return []
     place = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000))
-    share = min(1_000_000, int(1_000_000 * rows / total * 0.9) + 1) if total > rows else 1_000_000
-    return _pieces(labelled.where(place < share).limit(rows))
+    share = min(1_000_000, int(2_000_000 * rows / total) + 1000) if total else 0
+    return labelled.withColumn("place", place).where(F.col("place") < share).orderBy("place", "doc_id", "lang", "source").limit(rows)
 
 
 def quota(counts: list[int], rows: int) -> int:
@@ -220,14 +211,12 @@ def quota(counts: list[int], rows: int) -> int:
     return max(rows, LANGUAGE_ROWS)
 
 
-def sample_by_language(docs: DataFrame, held: Column, rows: int, salt: int) -> list[tuple[list[str], str]]:
+def by_language(labelled: DataFrame, rows: int, salt: int) -> DataFrame:
     """Rows of every language, as many as ``quota`` says, taken from its sources in turn by a hash of the id.
 
-    Rows that are ``held`` serve only languages without others. Ids that repeat count once. The draw by hash is a join of
-    ids with the counts by language and source; texts are read only for the rows that are taken.
+    Rows that are ``held`` serve only languages without others.
     """
-    labelled = _labelled(docs).withColumn("held", held)
-    counts = labelled.groupBy("lang", "source", "held").agg(F.approx_count_distinct("doc_id").alias("n"))
+    counts = labelled.groupBy("lang", "source", "held").agg(F.count(F.lit(1)).alias("n"))
     counts = checkpointed(counts)
     langs = counts.groupBy("lang").agg(
         F.min("held").alias("held"), F.sum(F.when(~F.col("held"), F.col("n"))).alias("rest"), F.sum("n").alias("n"),
@@ -241,28 +230,33 @@ def sample_by_language(docs: DataFrame, held: Column, rows: int, salt: int) -> l
     place = F.xxhash64("doc_id", F.lit(salt))
     drawn = (
         labelled.join(shares, ["lang", "source", "held"]).where(F.pmod(place, F.lit(1 << 30)) < F.col("share") * (1 << 30))
-        .select("doc_id", "lang", "source", place.alias("place")).distinct()
+        .select("doc_id", "lang", "source", place.alias("place"))
     )
     turn = F.row_number().over(Window.partitionBy("lang", "source").orderBy("place", "doc_id"))
     at = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "place", "doc_id", "source"))
-    taken = checkpointed(
-        drawn.withColumn("turn", turn).withColumn("at", at).where(F.col("at") <= most).select("doc_id", "lang", "source")
-    )
-    chosen = labelled.join(F.broadcast(taken), ["doc_id", "lang", "source"])
-    return _pieces(chosen.groupBy("doc_id", "lang", "source").agg(F.min("text").alias("text")))
+    return drawn.withColumn("turn", turn).withColumn("at", at).where(F.col("at") <= most)
 
 
 def fitted(docs: DataFrame) -> Model:
     """A model from rows (doc_id, text, lang), and source where there is one; calibration rows are not trained on, but
     for languages that have no others."""
-    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0
-    return train(sample_by_language(docs, held, TRAIN_ROWS, 1), sample(docs.where(held), CALIBRATION_ROWS, 2))
+    labelled = _labelled(docs, F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0)
+    use = by_language(labelled, TRAIN_ROWS, 1).select("doc_id", "lang", F.lit(0).alias("use")).unionByName(
+        uniform(labelled.where("held"), CALIBRATION_ROWS, 2).select("doc_id", "lang", F.lit(1).alias("use"))
+    )
+    use = checkpointed(use.distinct())
+    if use.count() <= BROADCAST_ROWS:
+        use = F.broadcast(use)
+    texts = docs.where("text IS NOT NULL").select("doc_id", "lang", "text").join(use, ["doc_id", "lang"])
+    rows = sorted(map(tuple, texts.groupBy("doc_id", "lang", "use").agg(F.min("text").alias("text")).collect()))
+    trained, calibration = ([(text_words(text), lang) for _, lang, at, text in rows if at == use_] for use_ in (0, 1))
+    return train(trained, calibration)
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` as struct ``row``, beside ``lang_pred``, ``lang_score`` and ``accepted``."""
     shared = docs.sparkSession.sparkContext.broadcast(
-        (model.languages, model.table, model.bias, model.temperature, model.accept)
+        (model.languages, model.embeddings, model.weights, model.bias, model.temperature, model.accept)
     )
     key = uuid.uuid4().hex
 
