@@ -5,20 +5,26 @@ entity gets the same surrogate in every document and in every spelling (phone an
 addresses and names in lower case), and different entities get different ones: surrogates are checked against each
 other and against all entities of the corpus, and those that collide are drawn again until none does.
 
-All steps are built-in expressions. Only documents that hold an entity are shuffled. Entities are made distinct before
-they are joined; one that occurs everywhere is one row in the table of surrogates.
+A name is found by its title. Its words are entities of their own, so "Mr John Smith", "Mr Smith" and "Smith" stay one
+person; in a text that names somebody with a title, the same words are replaced wherever they stand without one.
+
+All steps are built-in expressions. Only documents that hold an entity are shuffled, and their hits are written down
+once. Entities are made distinct before they are joined; one that occurs everywhere is one row in the table of
+surrogates. Patterns repeat single characters, or groups a bounded number of times, so texts of any length and shape
+take linear time and no stack.
 
 Surrogates by type: mail addresses keep the shape of the local part and get hosts below example.com; phone numbers keep
-their country code and punctuation; card numbers keep the first digit and a valid check digit; other numbers keep their
-length; US social security numbers start with 9, which is never issued; IPv4 addresses come from the reserved 240/4, IPv6
-from 2001:db8::/32, kept for documents;
+their country code and punctuation; card numbers, which are runs of 13 to 19 digits with a valid check digit, keep the
+first digit and a valid check digit; other numbers keep their length; US social security numbers start with 9, which is
+never issued; IPv4 addresses come from the reserved 240/4, IPv6 from 2001:db8::/32, kept for documents;
 keys and secrets keep their prefix, letter case, scripts and length, and those in which
-nothing can be replaced ("****") become hexadecimal digits; names after a title keep the title and get names of its
-gender in the script of the name.
+nothing can be replaced ("****") become hexadecimal digits; names keep their titles and get given names of the title's
+gender and family names in the script of the name.
 Where so many entities share a shape that no surrogate of the shape is free, surrogates get longer.
 
 Defined cases: null and empty texts stay as they are, with no entities. Rows without id and repeated rows are handled
-like others. Empty tables give empty results. Extra columns are kept by ``pseudonymised``.
+like others. Empty tables give empty results. Extra columns are kept by ``pseudonymised``. Hosts of more than 127
+labels are no mail addresses.
 """
 
 from __future__ import annotations
@@ -33,9 +39,12 @@ from cartlens.session import checkpointed
 DEFAULT_KEY = "cartlens"
 
 # Titles that come before a name, by gender.
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Sir", "Господин", "Κύριος"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora", "Госпожа", "Κυρία"]
-NEUTRAL = ["Dr", "Prof", "Доктор"]
+MALE = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Signor", "Senhor", "Meneer", "Pan", "Господин", "Пан", "Κύριος"]
+FEMALE = [
+    "Mrs", "Ms", "Miss", "Madam", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Señorita", "Signora",
+    "Signorina", "Senhora", "Mevrouw", "Pani", "Госпожа", "Пани", "Κυρία",
+]
+NEUTRAL = ["Mx", "Dr", "Prof", "Doctor", "Professor", "Docteur", "Доктор", "Профессор"]
 
 # Given names by script and gender, and syllables of family names by script.
 GIVEN = {
@@ -85,13 +94,16 @@ _SECRET = r"(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}\"?"
 # Characters of a mail address before the sign: those of scripts that put spaces between words, and the other ones.
 _UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 _LOCAL = rf"[\p{{L}}\p{{M}}\p{{N}}._%+\-&&[^{_UNSPACED[1:-1]}]]"
-_HOST = r"[\p{L}\p{M}\p{N}\-]+(?:\.[\p{L}\p{M}\p{N}\-]+)*\.\p{L}[\p{L}\p{M}]+"
+# A group without a bound would be walked with one stack frame per repetition.
+_HOST = r"[\p{L}\p{M}\p{N}\-]++(?:\.[\p{L}\p{M}\p{N}\-]++){0,126}\.\p{L}[\p{L}\p{M}]+"
 _HEX = "[0-9A-Fa-f]{1,4}"
+# A word of a name, without the "'s" behind it.
+_WORD = r"\p{Lu}(?:\p{L}++|(?=['\-]\p{L}))(?:['\-](?!s\b)\p{L}++){0,4}"
 
 # Types in the order in which they are tried; the first that matches at a place wins.
 PATTERNS = {
-    "email": rf"(?:(?<!{_LOCAL}){_LOCAL}+|(?<!{_UNSPACED}){_UNSPACED}+)@{_HOST}",
-    "secret": rf"(?i:{_SECRET})[^\s\"]{{4,}}",
+    "email": rf"(?:(?<!{_LOCAL}){_LOCAL}++|(?<!{_UNSPACED}){_UNSPACED}++)@{_HOST}",
+    "secret": rf"(?i:{_SECRET})[^\s\"]{{4,}}+",
     "key": r"\b(?:AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z\-]{20,})",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
@@ -102,28 +114,55 @@ PATTERNS = {
     rf"|(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::{_HEX}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:)"
     r"(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "name": rf"\b(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": rf"\b(?:{_TITLES})\.? {_WORD}(?: {_WORD})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_UNNAMED = {kind: p for kind, p in PATTERNS.items() if kind != "name"}
 # What every pattern needs, cheap to look for: a character, or the first letter of a title.
 _INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
 HINT = rf"[0-9@=:]|AKIA[A-Z]|gh[pousr]_|sk-|(?=[{_INITIALS}])(?:{_TITLES})\.? \p{{Lu}}"
+# With what all but mail addresses begin: digits, signs, titles and capitals, the words of secrets and keys, and the
+# hexadecimal digits of an IPv6 address.
+_BEGINS = rf"(?=[0-9+(:A-Zapstg{_INITIALS}]|[b-f][0-9A-Fa-f]{{0,3}}:)"
+
+
+def _any(kinds: dict[str, str], mail: bool, more: str = "") -> str:
+    others = "|".join(f"(?:{p})" for kind, p in kinds.items() if kind != "email")
+    others = f"{_BEGINS}(?:{others}){more}"
+    return f"(?:{kinds['email']})|{others}" if mail else others
+
+
+def _matches(text: Column, use) -> Column:
+    """``use`` of the pattern for the text: only texts with the sign are searched for mail addresses."""
+    return F.when(text.contains("@"), use(F.lit(_any(PATTERNS, True)))).otherwise(use(F.lit(_any(PATTERNS, False))))
 
 
 def hits(text: Column) -> Column:
-    """The entities of a text in order, as they are written; an empty array for null."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    """The entities of a text in order, as they are written, names with their titles; an empty array for null."""
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(HINT), _matches(text, lambda p: F.regexp_extract_all(text, p, F.lit(0)))).otherwise(none)
 
 
 def _without_hits(text: Column) -> Column:
     """Whether a text holds no entity; true for null."""
-    return text.isNull() | ~text.rlike(HINT) | ~text.rlike(ANY)
+    return text.isNull() | ~text.rlike(HINT) | ~_matches(text, lambda p: F.regexp_like(text, p))
+
+
+def _name_words(name: Column) -> Column:
+    return F.split(_after(name, rf"(?:{_TITLES})\.? "), " ")
+
+
+def _pattern(words: Column) -> Column:
+    """The pattern of a text: everything but titled names, and the ``words`` of its names wherever they stand alone."""
+    # Longer words first, as the first one that fits is taken.
+    longest = F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    listed = F.array_join(F.transform(longest, lambda x: x["w"]), "|")
+    head, tail = _any(_UNNAMED, True, r"|(?<![\p{L}\p{M}'\-])(?:"), r")(?![\p{L}\p{M}])"
+    return F.when(F.size(words) > 0, F.concat(F.lit(head), listed, F.lit(tail))).otherwise(F.lit(_any(_UNNAMED, True)))
 
 
 def _kind(value: Column) -> Column:
     out = None
-    for name, pattern in PATTERNS.items():
+    for name, pattern in {**_UNNAMED, "name": _WORD}.items():
         whole = value.rlike(rf"^(?:{pattern})$")
         out = F.when(whole, F.lit(name)) if out is None else out.when(whole, F.lit(name))
     return out.otherwise(F.lit("card"))
@@ -142,13 +181,17 @@ def _canonical(kind: Column, value: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), _digits(value))
         .when(kind == "secret", _after(value, f"(?i:{_SECRET})"))
-        .when(kind == "name", F.lower(_after(value, rf"(?:{_TITLES})\.? ")))
-        .when(kind.isin("email", "ip"), F.lower(value))
+        .when(kind.isin("email", "ip", "name"), F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .otherwise(value)
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, even if ``use`` needs it for every element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _byte(digest: Column, n: Column) -> Column:
     """Byte ``n`` of a hexadecimal digest, beginning again at its end."""
     at = F.pmod(n, F.lit(60)) * 2 + 1
@@ -161,22 +204,26 @@ def _shaped(value: Column, digest: Column) -> Column:
     The n-th replaced character takes the n-th byte, so spaces and punctuation don't change the result.
     """
 
-    def lettered(c: Column) -> Column:
+    def letters(c: Column) -> Column:
         other = None
-        for pattern, letters in LETTERS:
-            other = F.when(c.rlike(pattern), letters) if other is None else other.when(c.rlike(pattern), letters)
-        return F.struct(c.alias("c"), F.when(c.rlike(REPLACED), other).otherwise("").alias("letters"))
-
-    def step(state: Column, x: Column) -> Column:
-        letters = x["letters"]
-        one = F.substring(letters, F.pmod(_byte(digest, state["n"]), F.length(letters)) + 1, F.lit(1))
-        return F.struct(
-            F.concat(state["out"], F.when(letters == "", x["c"]).otherwise(one)).alias("out"),
-            (state["n"] + F.when(letters == "", 0).otherwise(1)).alias("n"),
-        )
+        for pattern, found in LETTERS:
+            other = F.when(c.rlike(pattern), found) if other is None else other.when(c.rlike(pattern), found)
+        # ASCII by code point, which is faster than a pattern; LETTERS begins with its digits, small and capital letters.
+        code = F.ascii(c)
+        for (first, last), (_, found) in zip(((48, 57), (97, 122), (65, 90)), LETTERS):
+            other = F.when(code.between(first, last), found).otherwise(other)
+        return other
+
+    def shaped(one: Column) -> Column:
+        def lettered(c: Column, n: Column) -> Column:
+            return _bound(letters(c), lambda x: F.substring(x, F.pmod(_byte(one, n), F.length(x)) + 1, F.lit(1)))
+
+        # What is replaced and what stands between, joined again: linear in the length of the value.
+        new = F.transform(F.regexp_extract_all(value, F.lit(REPLACED), F.lit(0)), lettered)
+        between = F.split(value, REPLACED, -1)
+        return F.array_join(F.zip_with(between, new, lambda kept, c: F.concat(kept, F.coalesce(c, F.lit("")))), "")
 
-    empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
-    return F.aggregate(F.transform(F.split(value, ""), lettered), empty, step, lambda s: s["out"])
+    return _bound(digest, shaped)
 
 
 def _luhn(digits: Column) -> Column:
@@ -198,31 +245,31 @@ def _pick(values: list[str], n: Column) -> Column:
     return F.get(F.split(F.lit(" ".join(values)), " "), F.pmod(n, F.lit(len(values))))
 
 
-def _name(value: Column, digest: Column, gender: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(value, rf"^(?:{_TITLES})\.? ", 0)
-    name = _after(value, rf"(?:{_TITLES})\.? ")
+def _name(value: Column, digest: Column, gender: Column, given: Column, attempt: Column) -> Column:
+    """A given name of the gender, or a family name, in the script of ``value``; longer with every attempt."""
 
     def in_script(script: str) -> Column:
+        def syllables(first: int, n: Column) -> Column:
+            return F.array_join(F.transform(
+                F.sequence(F.lit(first), F.lit(first - 1) + n), lambda k: _pick(SYLLABLES[script], _byte(digest, k))
+            ), "")
+
         # Sixteen names of each gender in one list; the gender chooses the part.
         part = F.when(gender == "f", 0).when(gender == "m", 16).otherwise(32)
         names = GIVEN[script]["f"] + GIVEN[script]["m"] + GIVEN[script]["n"]
-        given = _pick(names, part + F.pmod(_byte(digest, F.lit(0)), F.lit(16)))
-        parts = F.transform(
-            F.sequence(F.lit(1), F.lit(4) + attempt), lambda k: _pick(SYLLABLES[script], _byte(digest, k))
-        )
-        joined = F.array_join(parts, "")
-        family = F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1000))
-        return F.when(name.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
-
-    return F.concat(
-        title,
-        F.when(name.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).when(name.rlike(r"\p{IsGreek}"), in_script("greek"))
-        .otherwise(in_script("latin")),
+        first = _pick(names, part + F.pmod(_byte(digest, F.lit(0)), F.lit(16)))
+        first = F.concat(first, F.when(attempt > 0, syllables(10, attempt)).otherwise(""))
+        return F.when(given, first).otherwise(F.initcap(syllables(1, attempt + 4)))
+
+    drawn = (
+        F.when(value.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).when(value.rlike(r"\p{IsGreek}"), in_script("greek"))
+        .otherwise(in_script("latin"))
     )
+    return F.when(value == F.upper(value), F.upper(drawn)).otherwise(drawn)
 
 
 def _with_surrogate(drawn: DataFrame, key: str) -> DataFrame:
-    """``drawn`` (kind, value, canonical, gender, attempt) with the column ``surrogate``.
+    """``drawn`` (kind, value, canonical, gender, given, attempt) with the column ``surrogate``.
 
     What comes before the replaced part is kept, and what comes after a mail address's local part is the
     surrogate of its host. One expression then replaces digits and letters for all types.
@@ -262,31 +309,43 @@ def _with_surrogate(drawn: DataFrame, key: str) -> DataFrame:
         .when(kind == "ssn", F.concat(F.lit("9"), "shaped"))
         .when((kind == "ip") & (attempt < SAME_LENGTH) & ~value.contains(":"), ip)
         .when(kind == "ip", F.concat(F.lit("2001:db8:"), F.regexp_replace(F.substring(digest, 1, 24), "(.{4})(?=.)", "$1:")))
-        .when(kind == "name", _name(value, digest, F.col("gender"), attempt))
+        .when(kind == "name", _name(value, digest, F.col("gender"), F.col("given"), attempt))
         .otherwise(number),
     ).select(*drawn.columns, "surrogate")
 
 
 def entities(found: DataFrame) -> DataFrame:
-    """(value, kind, canonical) of every distinct spelling in the arrays ``hits``."""
-    values = found.select(F.explode("hits").alias("value")).distinct()
-    return values.withColumn("kind", _kind(F.col("value"))).withColumn(
-        "canonical", _canonical(F.col("kind"), F.col("value"))
+    """(value, kind, canonical) of every distinct spelling in the arrays ``hits``; long numbers without a valid check
+    digit are no entities."""
+    values = found.select(F.explode("hits").alias("value")).distinct().withColumn("kind", _kind(F.col("value")))
+    values = values.where((F.col("kind") != "card") | (_luhn(_digits(F.col("value"))) == 0))
+    return values.withColumn("canonical", _canonical(F.col("kind"), F.col("value")))
+
+
+def roles(named: DataFrame) -> DataFrame:
+    """(kind, canonical, gender, given) of the words in the arrays ``names`` of titled names."""
+    title = F.regexp_extract("name", rf"^({_TITLES})", 1)
+    words = named.select(F.explode("names").alias("name")).distinct().select(
+        F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").alias("gender"),
+        F.size(_name_words(F.col("name"))).alias("n"), F.posexplode(_name_words(F.col("name"))).alias("at", "word"),
+    )
+    return words.groupBy(F.lit("name").alias("kind"), F.lower("word").alias("canonical")).agg(
+        F.max("gender").alias("gender"), F.max(F.col("at") < F.col("n") - 1).alias("given")
     )
 
 
 def surrogates(spellings: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(value, surrogate) for distinct spellings (value, kind, canonical): one-to-one on the entities.
 
-    Each round draws the surrogates of the entities whose last ones collided, with another entity's or with an
-    entity that really occurs, and stops when none collides. Of entities that draw the same, the first one keeps it.
+    ``gender`` ("f", "m") and ``given`` may say more about words of names. Each round draws the surrogates of the
+    entities whose last ones collided, with another entity's or with an entity that really occurs, and stops when none
+    collides. Of entities that draw the same, the first one keeps it.
     """
-    title = F.regexp_extract("value", rf"^({_TITLES})", 1)
-    gender = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f")
+    gender, given = (F.col(c) if c in spellings.columns else F.lit(None) for c in ("gender", "given"))
     each = checkpointed(
         spellings.groupBy("kind", "canonical").agg(
-            F.coalesce(F.max(F.when(F.col("kind") == "name", gender)), F.lit("n")).alias("gender"),
-            F.min("value").alias("value"),
+            F.coalesce(F.max(gender.cast("string")), F.lit("n")).alias("gender"),
+            F.coalesce(F.max(given.cast("boolean")), F.lit(False)).alias("given"), F.min("value").alias("value"),
         ).withColumn("attempt", F.lit(0))
     )
     real = each.select("kind", F.col("canonical").alias("drawn"), F.lit(True).alias("real"))
@@ -296,36 +355,41 @@ def surrogates(spellings: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         first = drawn.groupBy("kind", "drawn").agg(F.min("canonical").alias("first"))
         judged = drawn.join(first, ["kind", "drawn"]).join(real, ["kind", "drawn"], "left")
         collides = F.col("real").isNotNull() | (F.col("canonical") != F.col("first"))
-        judged = checkpointed(judged.select("kind", "canonical", "gender", "value", "attempt", collides.alias("collides")))
+        judged = checkpointed(judged.select(
+            "kind", "canonical", "gender", "given", "value", "attempt", collides.alias("collides")
+        ))
         if judged.where("collides").isEmpty():
             break
         each = judged.withColumn("attempt", F.col("attempt") + F.col("collides").cast("int")).drop("collides")
-    chosen = each.select("kind", "canonical", "gender", "attempt")
-    return _with_surrogate(spellings.join(chosen, ["kind", "canonical"]), key).select("value", "surrogate")
+    chosen = each.select("kind", "canonical", "gender", "given", "attempt")
+    return _with_surrogate(spellings.select("value", "kind", "canonical").join(chosen, ["kind", "canonical"]), key).select("value", "surrogate")
 
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
     """``docs`` as struct ``row``, beside ``new_text`` and ``n_entities``."""
     rows = wrapped(docs, _text=text).withColumn("_text", F.col("_text").cast("string"))
-    hinted = F.coalesce(F.col("_text").rlike(HINT), F.lit(False))
+    titled = F.filter("found", lambda h: h.rlike(rf"^(?:{PATTERNS['name']})$"))
+    held = rows.withColumn("found", hits(F.col("_text"))).where(F.size("found") > 0).withColumn("names", titled)
+    held = held.withColumn("words", F.array_distinct(F.flatten(F.transform("names", _name_words))))
+    # Titles stay in the text; the words of names are hits of their own.
+    pattern = _pattern(F.col("words"))
+    again = F.regexp_extract_all("_text", pattern, F.lit(0))
+    held = held.withColumn("hits", F.when(F.size("words") > 0, again).otherwise(F.col("found"))).drop("found")
     # Texts with the same entities in the same order share a key; a document's entities never gather elsewhere.
-    held = rows.where(hinted).withColumn("hits", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
-    held = held.where(F.size("hits") > 0).withColumn("_key", F.sha2(F.to_json("hits"), 256))
-    lists = held.select("_key", "hits").dropDuplicates(["_key"])
-    lists = checkpointed(lists)
-    spellings = checkpointed(entities(lists))
+    held = checkpointed(held.withColumn("_key", F.sha2(F.to_json("hits"), 256)))
+    lists = checkpointed(held.select("_key", "hits").dropDuplicates(["_key"]))
+    spellings = checkpointed(entities(lists).join(roles(held), ["kind", "canonical"], "left"))
     replaced = (
         lists.select("_key", F.posexplode("hits").alias("at", "value"))
-        .join(surrogates(spellings, key), "value")
+        .join(surrogates(spellings, key), "value", "left")
         .groupBy("_key").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("new")
+            F.transform(F.array_sort(F.collect_list(F.struct(F.col("at"), F.coalesce("surrogate", "value").alias("new")))), lambda x: x["new"]).alias("new"),
+            F.count("surrogate").alias("n_entities"),
         )
     )
-    pieces = F.split(F.col("_text"), ANY, -1)
-    rebuilt = F.array_join(F.flatten(F.zip_with(pieces, "new", lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
-    changed = held.join(replaced, "_key").select(
-        "row", rebuilt.alias("new_text"), F.size("hits").cast("long").alias("n_entities")
-    )
+    pieces = F.split(F.col("_text"), pattern, -1)
+    rebuilt = F.array_join(F.zip_with(pieces, "new", lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    changed = held.join(replaced, "_key").select("row", rebuilt.alias("new_text"), "n_entities")
     same = rows.where(_without_hits(F.col("_text"))).select(
         "row", F.col("_text").alias("new_text"), F.lit(0).cast("long").alias("n_entities")
     )
