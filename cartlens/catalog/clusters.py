@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from cartlens.catalog import tables
 from cartlens.catalog.registry import FEATURES, KEPT_SQL, RFM_SQL, query, rounded, union_all
 from cartlens.operators import cluster_quality as cq
-from cartlens.operators import clustering, density, personas
+from cartlens.operators import clustering, density, linkage, personas
 from cartlens.operators.scaling import prepare_clustering
+from cartlens.session import checkpointed
 
 SUM_SQ = lambda a, b: " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in FEATURES)
 MEANS_SQL = "means AS (SELECT DENSE_RANK() OVER (ORDER BY grp) - 1 AS cluster, " + ", ".join(
@@ -226,6 +227,41 @@ def hierarchical_clusters(spark, sf_dir):
     return clustering.hierarchical_clusters(points(spark, sf_dir), 5)
 
 
+@query("bisecting_clusters")
+def bisecting_clusters(spark, sf_dir):
+    return clustering.bisecting_clusters(points(spark, sf_dir), 5)
+
+
+@query("ward_linkage")
+def ward_linkage(spark, sf_dir):
+    return linkage.ward_linkage(points(spark, sf_dir))
+
+
+# The costs of all merges add up to the spread around the mean; the spread that is left inside k clusters is the same
+# without the k - 1 highest merges.
+@query(
+    "ward_spread",
+    f"""WITH {KEPT_SQL}
+    SELECT CAST(COUNT(*) - 1 AS BIGINT) AS n_merges, ROUND({" + ".join(f"COUNT(*) * VAR_POP({c})" for c in FEATURES)}, 4) AS total_cost,
+      CAST(5 AS BIGINT) AS n_clusters, CAST(COUNT(*) AS BIGINT) AS n_labelled, TRUE AS inside_agrees FROM z""",
+)
+def ward_spread(spark, sf_dir):
+    z = points(spark, sf_dir)
+    tree = checkpointed(linkage.ward_linkage(z))
+    labels = checkpointed(linkage.cut(z, tree, 5))
+    inside = cq.wcss(z.withColumn("point_id", F.col("point_id").cast("string")).join(labels, "point_id")).select("wcss").scalar()
+    cost = F.col("height") * F.col("height") / 2
+    highest = tree.orderBy(F.desc("height"), F.desc("absorbed")).limit(4).agg(F.sum(cost).alias("top")).scalar()
+    facts = tree.agg(F.count(F.lit(1)).alias("n_merges"), F.sum(cost).alias("total_cost")).withColumn(
+        "inside_agrees", F.abs(F.col("total_cost") - highest - inside) < 1e-6 * F.col("total_cost")
+    )
+    counts = labels.agg(F.countDistinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_labelled"))
+    return rounded(
+        facts.withColumn("n_clusters", counts.select("n_clusters").scalar()).withColumn("n_labelled", counts.select("n_labelled").scalar()),
+        total_cost=4,
+    )
+
+
 @query("method_comparison")
 def method_comparison(spark, sf_dir):
     return clustering.method_comparison(points(spark, sf_dir), 5).summary

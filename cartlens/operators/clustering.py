@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.operators import density
+from cartlens.operators import density, linkage
 from cartlens.operators.cluster_quality import (
     adjusted_rand,
     choose_k,
@@ -168,11 +168,13 @@ def cluster_sizes(customers: DataFrame, label: str = "cluster") -> DataFrame:
     return sizes.withColumn("percentage", F.try_divide(F.col("size") * 100.0, total))
 
 
-def hierarchical_clusters(points: DataFrame, k: int, seed: int = SEED) -> DataFrame:
-    """Top-down hierarchical clustering into k groups (bisecting k-means).
+def hierarchical_clusters(points: DataFrame, k: int, tree: DataFrame | None = None) -> DataFrame:
+    """Bottom-up hierarchical clustering into k groups by Ward's criterion; ``tree`` is their linkage, if it is at hand."""
+    return linkage.cut(points, linkage.ward_linkage(points) if tree is None else tree, k)
+
 
-    Bottom-up linkage needs the whole distance matrix in one place; splitting from the top gives a
-    hierarchy too and runs as Spark jobs. Its labels are not those of bottom-up linkage.
+def bisecting_clusters(points: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """Top-down hierarchical clustering into k groups (bisecting k-means).
 
     The first split starts from a disturbance proportional to the centre's length, which is nothing for
     centred data; a shift, which changes no distance, gives it one.
@@ -221,7 +223,7 @@ def method_comparison(points: DataFrame, k: int, min_samples: int = 5, seed: int
     """k-means, hierarchical and density clustering side by side: cluster counts, noise, agreement."""
     points = reused(points)
     kmeans = assign_nearest_center(points, kmeans_fit(points, k, 1, seed), "kmeans").select("point_id", "kmeans")
-    tree = hierarchical_clusters(points, k, seed).withColumnRenamed("cluster", "hierarchical")
+    tree = hierarchical_clusters(points, k).withColumnRenamed("cluster", "hierarchical")
     packed = density.pack(points)
     eps = float(density.estimate_eps(density.knn_distance(points, packed=packed)).head().eps)
     dense = density.dbscan(points, eps, min_samples, packed=packed).select("point_id", F.col("cluster").alias("dbscan"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again.
+
+    For loops that join their own results: a checkpoint keeps the estimated size of what it cuts off, the estimates
+    multiply from round to round, and after some rounds the planner is busy with numbers of millions of digits. A
+    table that is read has its real size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Keep ``df`` for several readers; blocks that do not fit in memory go to disk."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
