@@ -25,6 +25,8 @@ from cartlens.session import checkpointed
 cloudpickle.register_pickle_by_value(cartlens)
 
 BLOCK_ROWS = 2048
+# Blocks along a side of a tile; a task holds so many of them, with their states.
+TILE_SIDE = 16
 BLOCK_SCHEMA = "block long, n int, ids array<string>, x binary, tags binary, lo array<double>, hi array<double>"
 
 
@@ -117,12 +119,6 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def all_pairs(blocks: DataFrame) -> DataFrame:
-    """Every (own, other) pair of block numbers; the list of numbers is one value per block."""
-    numbers = blocks.agg(F.collect_list("block").alias("numbers")).scalar()
-    return blocks.select(F.col("block").alias("own")).withColumn("other", F.explode(numbers))
-
-
 def near_pairs(blocks: DataFrame, reach: Column | None = None) -> DataFrame:
     """(own, other) pairs whose boxes are at most ``reach`` of the own block apart.
 
@@ -207,3 +203,70 @@ def fold_pairs(
             yield finish(state, mine)
 
     return stream.mapInPandas(run, schema)
+
+
+def fold_all(
+    blocks: DataFrame,
+    start: Callable[[Block], np.ndarray],
+    fold: Callable[[np.ndarray, Block, Block], None],
+    finish: Callable[[np.ndarray, Block], pd.DataFrame],
+    schema: str,
+    side: int = TILE_SIDE,
+) -> DataFrame:
+    """``fold`` every block into a state for each own block, where states are arrays that add up.
+
+    The pairs of blocks form a square that is cut into tiles of about ``side`` x ``side``. A tile is a task: it holds the
+    own blocks of its row, with their states, and reads the blocks of its column as a stream. With g tiles along a side
+    every block travels 2 g times, not once to every other block. The g states of an own block are then added up,
+    in the order of the columns.
+    """
+    count = blocks.count()
+    tiles = max(1, -(-count // side))
+    group = F.pmod(F.xxhash64("block"), F.lit(tiles)).cast("int")
+    columns = ["block", "n", "x", "tags"]
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    rows = blocks.select(group.alias("row"), every.alias("col"), F.lit(0).alias("kind"), *columns)
+    cols = blocks.select(every.alias("row"), group.alias("col"), F.lit(1).alias("kind"), *columns)
+    by_tile = rows.unionByName(cols).repartition("row", "col").sortWithinPartitions("row", "col", "kind", "block")
+
+    def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"own": [b.number for b, _ in held], "col": at[1], "state": [s.tobytes() for _, s in held]})
+
+        for batch in batches:
+            for row in batch.assign(ids=None, other=batch["block"]).itertuples(index=False):
+                if (row.row, row.col) != at:
+                    if held:
+                        yield done()
+                    at, held = (row.row, row.col), []
+                block = Block(row)
+                if row.kind == 0:
+                    held.append((block, np.ascontiguousarray(start(block), dtype=np.float64)))
+                else:
+                    for own, state in held:
+                        fold(state, own, block)
+        if held:
+            yield done()
+
+    parts = by_tile.mapInPandas(tile, "own long, col int, state binary")
+    empty = F.lit(None).cast("binary")
+    own = blocks.select(F.col("block").alias("own"), F.lit(-1).alias("col"), empty.alias("state"), "n", "ids", "x", "tags")
+    stream = own.unionByName(parts, allowMissingColumns=True).repartition("own").sortWithinPartitions("own", "col")
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, state = None, None
+        for batch in batches:
+            for row in batch.assign(other=batch["own"]).itertuples(index=False):
+                if row.state is None:
+                    if mine is not None:
+                        yield finish(state, mine)
+                    mine = Block(row._replace(n=int(row.n)))
+                    state = np.ascontiguousarray(start(mine), dtype=np.float64)
+                else:
+                    state += np.frombuffer(row.state, dtype=np.float64).reshape(state.shape)
+        if mine is not None:
+            yield finish(state, mine)
+
+    return stream.mapInPandas(total, schema)

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.functions.blocks import BLOCK_ROWS, all_pairs, dimension, distances, fold_pairs, pack_blocks
+from cartlens.functions.blocks import BLOCK_ROWS, dimension, distances, fold_all, pack_blocks
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -72,7 +72,8 @@ def silhouette_points(
 ) -> DataFrame:
     """Exact Euclidean silhouette value of every point under each labelling in ``labels``.
 
-    Every distance is needed, so all block pairs meet; several labellings share one pass over them.
+    Every distance is needed, so all blocks meet, in tiles; several labellings share one pass over them. A state is the
+    sum of a point's distances to each cluster, of all labellings side by side.
     Rows: ``point_id``, ``labelling``, ``silhouette``.
     """
     labels = list(labels)
@@ -84,23 +85,27 @@ def silhouette_points(
     names = [sorted(s) for s in sizes]
     blocks = pack_blocks(tagged, block_rows, near=False)
 
+    starts = np.cumsum([0, *map(len, names)])
+
     def start(own):
-        return [np.zeros((len(own.x), len(n))) for n in names]
+        return np.zeros((len(own.x), starts[-1]))
 
     def fold(state, own, other):
-        gaps = distances(own.x, other.x)
+        # Which column each point of the other block counts for, under every labelling.
+        member = np.zeros((len(other.x), starts[-1]))
         for i, known in enumerate(names):
-            member = (other.tags[:, i, None] == np.array(known)[None, :]).astype(np.float64)
-            state[i] += gaps @ member
+            member[np.arange(len(other.x)), starts[i] + np.searchsorted(known, other.tags[:, i])] = 1.0
+        state += distances(own.x, other.x) @ member
 
     def finish(state, own):
         parts = []
         for i, known in enumerate(names):
+            sums = state[:, starts[i] : starts[i + 1]]
             size = np.array([sizes[i][v] for v in known], dtype=np.float64)
             mine = np.searchsorted(known, own.tags[:, i])
             row = np.arange(len(mine))
-            inner = state[i][row, mine] / np.maximum(size[mine] - 1, 1)
-            outer = state[i] / size[None, :]
+            inner = sums[row, mine] / np.maximum(size[mine] - 1, 1)
+            outer = sums / size[None, :]
             outer[row, mine] = np.inf
             nearest = outer.min(axis=1)
             top = np.maximum(inner, nearest)
@@ -108,9 +113,7 @@ def silhouette_points(
             parts.append(pd.DataFrame({"point_id": own.ids, "labelling": labels[i], "silhouette": value}))
         return pd.concat(parts)
 
-    return fold_pairs(
-        blocks, all_pairs(blocks), start, fold, finish, "point_id string, labelling string, silhouette double"
-    )
+    return fold_all(blocks, start, fold, finish, "point_id string, labelling string, silhouette double")
 
 
 def silhouette(points: DataFrame, labels: Sequence[str] = ("cluster",), block_rows: int = BLOCK_ROWS) -> DataFrame:

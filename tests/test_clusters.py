@@ -1,7 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cartlens.functions import blocks
+from cartlens.functions.blocks import distances
 from cartlens.operators import cluster_quality as cq
 from cartlens.operators import clustering, density
 
@@ -51,6 +54,25 @@ def test_silhouette_over_many_blocks_and_labellings(spark, cloud):
     assert got["other"] == pytest.approx(silhouette_by_hand(cloud, two).mean())
 
 
+def test_blocks_travel_along_the_sides_of_the_tiles(spark, cloud):
+    """Any tiling adds up to the same sums over all points, each pair once."""
+    one = np.arange(len(cloud)) % 4
+    packed = blocks.pack_blocks(table(spark, cloud, one).withColumn("tags", F.array(F.col("cluster").cast("long"))), 20, near=False)
+
+    def fold(state, own, other):
+        state += distances(own.x, other.x).sum(axis=1)[:, None]
+
+    def finish(state, own):
+        return pd.DataFrame({"point_id": own.ids, "total": state[:, 0]})
+
+    expected = gaps(cloud).sum(1)
+    for side in (1, 3, 100):
+        found = blocks.fold_all(packed, lambda own: np.zeros((len(own.x), 1)), fold, finish, "point_id string, total double", side).collect()
+        got = {r.point_id: r.total for r in found}
+        assert len(found) == len(cloud)
+        assert [got[f"{i:04d}"] for i in range(len(cloud))] == pytest.approx(expected.tolist())
+
+
 def test_nearest_neighbour_over_many_blocks(spark, cloud):
     d = gaps(cloud)
     np.fill_diagonal(d, np.inf)
