@@ -7,15 +7,19 @@ main element around that path, or, without one, at the container above it that a
 that holds less than half of its text there uses its own best container, unless that one is common on the host and
 mostly not the best: a side bar.
 
+Markup is read by the states of the HTML standard, in one pass without going back, with its rules for optional end
+tags, raw text and markup that never ends; elements deeper than ``MAX_DEPTH`` count as part of the one there.
 Menus, headers, footers, side bars, notices, adverts, forms, comments and scripts are cut out by tag, role and class.
-A class counts by its first or last word ("comment-list", not "has-sidebar"), and what holds most of a page's text, and
-the page's article or heading if it has one, is not cut for its class, role or form.
+A class counts by its last word before words of layout ("author-comment-list", "post-ad-block", not "has-sidebar" or
+"notice-period"), and what holds most of a page's text, and the page's article or heading if it has one, is not cut for
+its class, role or form.
 Votes are small integers, summed before they are shuffled; the winning paths are broadcast only if they are few, else
 joined, where adaptive execution splits a hot host.
 
 Defined cases: null or empty html gives an empty text. Pages with a null or unreadable url have no host in
-common; each uses its own best container. Pages that repeat are each read. Ties between paths go to the path that sorts last. An empty table gives an empty
-result. Extra columns are ignored.
+common; each uses its own best container. Pages that repeat are each read. Ties between paths go to the path that sorts
+last. What stands behind a comment, tag or quoted value that never ends is lost, as in a browser. An empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,12 +66,101 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 # A tag looks for the element it ends no further than this.
 SCOPE = frozenset("html body table ul ol dl article section main div".split())
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
+# Elements that may stand in a head; any other one, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title script style template noscript noframes".split())
+# Elements whose content is no markup.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+# Words of layout at the end of a class, which do not say what the element is.
+LAYOUT = frozenset(
+    "area bar bars banner block blocks body bottom box boxes btn button buttons card cards col column container content desktop float grid "
+    "group head header heading holder icon icons image img inline inner item items label large left link links list lists main mobile module "
+    "outer panel posts articles stories primary right row secondary section side slot small sticky strip tab text title top unit units user users "
+    "widget widgets wrap wrapper form message messages thread".split()
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+MAX_DEPTH = 512
+
+_TAG_NAME = re.compile(r"[^\s/>]*").match
+_BEFORE_ATTRIBUTE = re.compile(r"[\s/]*").match
+_ATTRIBUTE_NAME = re.compile(r"=?[^\s/>=]*").match
+_EQUALS = re.compile(r"\s*=\s*").match
+_UNQUOTED = re.compile(r"[^\s>]*").match
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from ``at`` on, the first of each name, and where the tag ends; -1 if it never does."""
+    found: dict[str, str] = {}
+    while True:
+        at = _BEFORE_ATTRIBUTE(page, at).end()
+        if at >= len(page):
+            return found, -1
+        if page[at] == ">":
+            return found, at + 1
+        name = _ATTRIBUTE_NAME(page, at)
+        at, value, equals = name.end(), "", _EQUALS(page, name.end())
+        if equals:
+            at = equals.end()
+            if page[at : at + 1] in ("'", '"') and at < len(page):
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return found, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                value = _UNQUOTED(page, at).group()
+                at += len(value)
+        found.setdefault(name.group().lower(), value)
+
+
+def markup(page: str):
+    """(text before it, tag, whether it is an end tag, attributes) of every tag; tag None for the text at the end.
+
+    Comments, declarations and the content of raw elements are left out. Every character is looked at once.
+    """
+    lower, at, texts = page.lower(), 0, []
+    if len(lower) != len(page):  # a few letters get longer in lower case
+        lower = "".join(c.lower() if c.isascii() else c for c in page)
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start + 1 >= len(page):
+            texts.append(page[at:])
+            break
+        texts.append(page[at:start])
+        second = page[start + 1]
+        closing = second == "/"
+        first = page[start + 2 : start + 3] if closing else second
+        if first.isascii() and first.isalpha():
+            name = _TAG_NAME(lower, start + 1 + closing)
+            attributes, at = _attributes(page, name.end())
+            if at < 0:
+                break
+            yield "".join(texts), name.group(), closing, attributes
+            texts = []
+            if not closing and name.group() in RAW:
+                mark, end = f"</{name.group()}", lower.find(f"</{name.group()}", at)
+                while end >= 0 and lower[end + len(mark) : end + len(mark) + 1] not in (*"> /\t\n\r\f", ""):
+                    end = lower.find(mark, end + 1)
+                if end < 0:
+                    break
+                yield "", name.group(), True, {}
+                at = page.find(">", end) + 1
+                if not at:
+                    break
+        elif page.startswith("<!--", start):
+            if page.startswith((">", "->"), start + 4):
+                at = page.find(">", start) + 1
+                continue
+            end = page.find("-->", start + 4)
+            if end < 0:
+                break
+            at = end + 3
+        elif second in "!?" or closing:
+            end = page.find(">", start)
+            if end < 0:
+                break
+            at = end + 1
+        else:
+            texts.append("<")
+            at = start + 1
+    yield "".join(texts), None, False, {}
 
 
 class _Open:
@@ -81,24 +174,24 @@ class _Open:
 
 
 def _cut_name(names: str) -> bool:
-    """Whether a class or id of ``names`` begins or ends with a word for what is no article text."""
+    """Whether the last word before words of layout, in a class or id of ``names``, says that it is no article text."""
     for name in names.split():
-        words = [w for w in re.split(r"[^a-z]+", name) if w]
-        if words and words[0] not in MODIFIERS and (words[0] in CUT_WORDS or words[-1] in CUT_WORDS):
+        words = [w for w in re.split(r"[^a-z]+", name) if len(w) > 1]
+        if words and words[0] in MODIFIERS:
+            continue
+        while words and words[-1] in LAYOUT and words[-1] not in CUT_WORDS:
+            words.pop()
+        if words and words[-1] in CUT_WORDS:
             return True
     return False
 
 
-def _opened(tag: str, attributes: str, above: _Open, number: int) -> _Open:
-    found = {}
-    if attributes and not attributes.isspace():
-        for name, a, b, c in ATTRIBUTE.findall(attributes):
-            found[name.lower()] = a or b or c
+def _opened(tag: str, found: dict[str, str], above: _Open, number: int) -> _Open:
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     article = above.article or tag in ("article", "main")
     cut = (
         above.cut or (tag in CUT_TAGS and tag != "form") or (tag == "header" and not above.article)
-        or re.search(r"\bhidden\b", re.sub(r"\"[^\"]*\"|'[^']*'", "", re.sub(r"aria-hidden", "", attributes))) is not None
+        or "hidden" in found
         or "display:none" in found.get("style", "").replace(" ", "").lower()
     )
     doubt = tag == "form" or (tag not in ("html", "body") and (
@@ -119,6 +212,12 @@ def blocks(page: str | None):
     page = page or ""
     root = _Open("", "", False, False, False)
     stack, parts, linked, out, anchors = [root], [], 0, [], []
+    opened: Counter[str] = Counter()
+
+    def close(n: int):
+        for element in stack[n:]:
+            opened[element.tag] -= 1
+        del stack[n:]
 
     def flush():
         nonlocal linked
@@ -138,14 +237,12 @@ def blocks(page: str | None):
             if top.link:
                 linked += len(text.strip())
 
-    at = 0
-    for match in TAG.finditer(page):
-        add(page[at : match.start()])
-        at = match.end()
-        tag = match.group(3)
+    for number, (text, tag, closing, attributes) in enumerate(markup(page)):
+        if stack[-1].tag == "head" and ((text and not text.isspace()) or (tag and not closing and tag not in IN_HEAD)):
+            close(len(stack) - 1)
+        add(text)
         if not tag:
             continue
-        tag = tag.lower()
         block = tag in BLOCKS
         if block:
             flush()
@@ -153,30 +250,34 @@ def blocks(page: str | None):
             if not stack[-1].cut:
                 parts.append(" ")
             continue
-        if match.group(2):
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    del stack[n:]
-                    break
-                if not block and stack[n].tag in BLOCKS:
-                    break  # an inline end tag does not close a block
+        if closing:
+            if opened[tag] > 0:
+                for n in range(len(stack) - 1, 0, -1):
+                    if stack[n].tag == tag:
+                        close(n)
+                        break
+                    if not block and stack[n].tag in BLOCKS:
+                        break  # an inline end tag does not close a block
             continue
         if tag in VOID:
             continue
         if block:
             ends = ENDS.get(tag, frozenset())
-            for n in range(len(stack) - 1, 0, -1):
-                name = stack[n].tag
-                if name in ends or (name == "p" and tag != "p") or (name == tag == "p"):
-                    del stack[n:]
-                    if name != "tr":
+            if opened["p"] > 0 or any(opened[e] > 0 for e in ends):
+                for n in range(len(stack) - 1, 0, -1):
+                    name = stack[n].tag
+                    if name in ends or name == "p":
+                        close(n)
+                        if name != "tr":
+                            break
+                    if name in SCOPE:
                         break
-                if name in SCOPE:
-                    break
-        stack.append(_opened(tag, match.group(4), stack[-1], at))
+        if len(stack) >= MAX_DEPTH:
+            continue
+        stack.append(_opened(tag, attributes, stack[-1], number))
+        opened[tag] += 1
         if tag in ANCHORS and not stack[-1].cut:
             anchors.append(stack[-1].doubts)
-    add(page[at:])
     flush()
     held = Counter()
     for _, text, _, doubts in out:
@@ -236,14 +337,24 @@ def lifted(found: list[tuple[str, str, int]], path: str) -> str:
     for p in _above(path):
         if _tag(p) in ("article", "main"):
             return p
-    parent = path.rpartition("/")[0]
+    # Characters, and those in links, by path: pages have few paths.
+    held: dict[str, list[int]] = {}
+    for p, text, linked in found:
+        sums = held.setdefault(p, [0, 0])
+        sums[0] += len(text)
+        sums[1] += linked
+
+    def inside(at: str) -> tuple[int, int]:
+        parts = [v for p, v in held.items() if p == at or p.startswith(f"{at}/")]
+        return sum(v[0] for v in parts), sum(v[1] for v in parts)
+
+    mine, parent = inside(path), path.rpartition("/")[0]
     while _tag(parent) not in ("", "html", "body"):
-        mine, all_ = _inside(found, path), _inside(found, parent)
-        size, links = ([sum(f(b) for b in x) for x in (mine, all_)] for f in (lambda b: len(b[1]), lambda b: b[2]))
-        more = size[1] - size[0]
-        if 4 * more > size[0] or 2 * (links[1] - links[0]) > more:
+        both = inside(parent)
+        more, links = both[0] - mine[0], both[1] - mine[1]
+        if 4 * more > mine[0] or 2 * links > more:
             break
-        path, parent = parent, parent.rpartition("/")[0]
+        path, parent, mine = parent, parent.rpartition("/")[0], both
     return path
 
 
