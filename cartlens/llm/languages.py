@@ -47,7 +47,7 @@ EPOCHS = 2
 RATE = 0.5
 BATCH_WORDS = 50
 # Words of a text that are looked at together.
-PIECE_WORDS = 5000
+PIECE_WORDS = 20_000
 # Share of accepted predictions that should be right on the calibration sample.
 TARGET_PRECISION = 0.99
 
@@ -59,6 +59,17 @@ def text_words(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
+def pieces_of(text: str | None):
+    """The words of a text, some thousand at a time."""
+    text = (text or "").lower()
+    if len(text) <= PIECE_WORDS:
+        yield LETTERS.findall(text)
+        return
+    words = map(re.Match.group, LETTERS.finditer(text))
+    while piece := list(islice(words, PIECE_WORDS)):
+        yield piece
+
+
 def features(word: str) -> list[int]:
     """Buckets of a word and of its character 2- to 4-grams. CRC32 is the same on every machine."""
     marked = f"<{word}>"
@@ -84,35 +95,37 @@ class Model:
         return e / e.sum()
 
 
+class Places(dict):
+    """The row of each remembered word in ``values``: the sum of its embeddings, and their number."""
+
+    def __init__(self, embeddings: np.ndarray, limit: int):
+        super().__init__()
+        self.embeddings, self.values = embeddings, np.zeros((limit, DIMENSIONS + 1), dtype=np.float32)
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        buckets = features(word)
+        self.values[place, :-1] = self.embeddings[buckets].sum(axis=0)
+        self.values[place, -1] = len(buckets)
+        return place
+
+
 class Scorer:
     """Predicts texts with remembered words; forgets them when there are too many."""
 
     def __init__(self, model: Model, limit: int = 150_000):
-        self.model, self.limit = model, limit
-        self.places: dict[str, int] = {}
-        # The sum of a word's embeddings, and their number.
-        self.values = np.zeros((limit, DIMENSIONS + 1), dtype=np.float32)
-
-    def _place(self, word: str) -> int:
-        place = self.places.get(word)
-        if place is None:
-            place = self.places[word] = len(self.places)
-            buckets = features(word)
-            self.values[place, :-1] = self.model.embeddings[buckets].sum(axis=0)
-            self.values[place, -1] = len(buckets)
-        return place
+        self.model, self.limit, self.places = model, limit, Places(model.embeddings, limit)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.model.languages:
             return UNKNOWN, 0.0
-        words, letters = map(re.Match.group, LETTERS.finditer((text or "").lower())), False
-        sums = np.zeros(DIMENSIONS + 1)
-        while piece := list(islice(words, PIECE_WORDS)):
+        sums, letters = np.zeros(DIMENSIONS + 1), False
+        for piece in pieces_of(text):
             letters = letters or any(map(str.isalpha, piece))
             if len(self.places) + len(piece) > self.limit:
                 self.places.clear()
-            places = np.fromiter(map(self._place, piece), dtype=np.int64, count=len(piece))
-            sums += self.values[places].sum(axis=0, dtype=np.float64)
+            places = np.fromiter(map(self.places.__getitem__, piece), dtype=np.int64, count=len(piece))
+            sums += self.places.values[places].sum(axis=0, dtype=np.float64)
         if not letters:
             return UNKNOWN, 0.0
         p = self.model.probabilities(self.model.logits(sums[:-1], sums[-1]))

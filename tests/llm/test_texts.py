@@ -304,7 +304,7 @@ def test_long_texts_and_forgotten_words():
 
 def test_memory_does_not_grow_with_the_languages():
     rows = [([f"w{n}", f"v{n}"], f"l{n:03}") for n in range(300)]
-    assert languages.Scorer(languages.train(rows, [], epochs=1)).values.shape[1] == languages.DIMENSIONS + 1
+    assert languages.Scorer(languages.train(rows, [], epochs=1)).places.values.shape[1] == languages.DIMENSIONS + 1
     assert languages.quota([5, 1000, 1000], 105) == 50 and languages.quota([1000] * 50, 100) == languages.LANGUAGE_ROWS
 
 
