@@ -18,12 +18,13 @@ SUBS = ("sub_category", 0.01, 0.10)
 CATEGORIES = ("category", 0.051, 0.15)
 # The synthetic orders have lifts near 1, so the cut-offs of the filters are lowered for them.
 LIFT = 1.1
-MIN_ORDERS_TEST = 900
+# The synthetic names occur about equally often: the threshold that bites at every scale is their mean number of orders.
+MEAN_ORDERS = "(SELECT AVG(n_orders) FROM cnt)"
 
 CLEAN_SQL = RFM_SQL.split("places AS")[0].rstrip().rstrip(",")
 
 
-def lines_sql(item: str, min_orders: int = 15) -> str:
+def lines_sql(item: str, min_orders: int | str = 15) -> str:
     return f"""{CLEAN_SQL},
 b AS (SELECT order_id, {item} AS item FROM clean GROUP BY 1, 2 HAVING SUM(quantity) > 0),
 cnt AS (SELECT item, COUNT(*) AS n_orders FROM b GROUP BY item),
@@ -99,29 +100,35 @@ def item_orders(spark, sf_dir):
     return bk.item_orders(bk.basket_items(tables.clean(spark, sf_dir)))
 
 
-@query("prune_rare_items", f"WITH {lines_sql('product_name', MIN_ORDERS_TEST)} SELECT order_id, item FROM k")
+def mean_pruned(spark, sf_dir):
+    """The lines, and the mean number of orders of an item as the threshold."""
+    items = bk.basket_items(tables.clean(spark, sf_dir))
+    return items, bk.item_orders(items).agg(F.avg("n_orders")).head()[0] or 0
+
+
+@query("prune_rare_items", f"WITH {lines_sql('product_name', MEAN_ORDERS)} SELECT order_id, item FROM k")
 def prune_rare_items(spark, sf_dir):
-    return bk.prune_rare_items(bk.basket_items(tables.clean(spark, sf_dir)), MIN_ORDERS_TEST)
+    return bk.prune_rare_items(*mean_pruned(spark, sf_dir))
 
 
 @query(
     "basket_stats",
-    f"""WITH {lines_sql('product_name', MIN_ORDERS_TEST)},
+    f"""WITH {lines_sql('product_name', MEAN_ORDERS)},
     z AS (SELECT order_id, COUNT(keep.item) AS n FROM b LEFT JOIN keep USING (item) GROUP BY order_id)
     SELECT COUNT(*) AS n_orders, ROUND(AVG(n), 6) AS avg_items, MAX(n) AS max_items, MIN(n) AS min_items,
       COUNT(*) FILTER (n > 1) AS multi_item_orders, (SELECT COUNT(*) FROM keep) AS n_items,
       COUNT(*) FILTER (n <= 1) AS single_item_orders, COUNT(*) FILTER (n > 1) < 100 AS small_data FROM z""",
 )
 def basket_stats(spark, sf_dir):
-    return rounded(bk.basket_stats(bk.basket_items(tables.clean(spark, sf_dir)), MIN_ORDERS_TEST), avg_items=6)
+    return rounded(bk.basket_stats(*mean_pruned(spark, sf_dir)), avg_items=6)
 
 
 @query(
     "multi_item_baskets",
-    f"WITH {lines_sql('product_name', MIN_ORDERS_TEST)} SELECT order_id, STRING_AGG(item, ', ' ORDER BY item) AS items FROM lines GROUP BY order_id",
+    f"WITH {lines_sql('product_name', MEAN_ORDERS)} SELECT order_id, STRING_AGG(item, ', ' ORDER BY item) AS items FROM lines GROUP BY order_id",
 )
 def multi_item_baskets(spark, sf_dir):
-    out = bk.multi_item_baskets(bk.basket_items(tables.clean(spark, sf_dir)), MIN_ORDERS_TEST)
+    out = bk.multi_item_baskets(*mean_pruned(spark, sf_dir))
     return out.select("order_id", F.array_join("items", ", ").alias("items"))
 
 
@@ -157,7 +164,7 @@ def top_single_items(spark, sf_dir):
     return rounded(bk.top_single_items(sets(spark, sf_dir, NAMES)), support=9)
 
 
-_METRICS_SQL = """SELECT atext AS antecedents, ctext AS consequents, ROUND(asup, 9) AS antecedent_support,
+METRICS_SQL = """SELECT atext AS antecedents, ctext AS consequents, ROUND(asup, 9) AS antecedent_support,
   ROUND(csup, 9) AS consequent_support, ROUND(support, 9) AS support, ROUND(confidence, 9) AS confidence,
   ROUND(lift, 9) AS lift, 1.0 AS representativity, ROUND(leverage, 9) AS leverage,
   CASE WHEN confidence < 1 THEN ROUND((1 - csup) / (1 - confidence), 9) END AS conviction,
@@ -176,12 +183,16 @@ _NINE = {
 }
 
 
+def rule_rows(out):
+    """All columns of rules whose item sets are text, as ``METRICS_SQL`` has them."""
+    out = out.withColumn("conviction", F.when(F.col("confidence") < 1, F.col("conviction")))
+    return rounded(out, **_NINE, zhangs_metric=7, support_pct=7, confidence_pct=7)
+
+
 def _rules_query(name, fixture):
-    @query(name, f"WITH {rules_sql(*fixture)} {_METRICS_SQL}")
+    @query(name, f"WITH {rules_sql(*fixture)} {METRICS_SQL}")
     def run(spark, sf_dir):
-        out = texted(mined(spark, sf_dir, fixture).rules)
-        out = out.withColumn("conviction", F.when(F.col("confidence") < 1, F.col("conviction")))
-        return rounded(out, **_NINE, zhangs_metric=7, support_pct=7, confidence_pct=7)
+        return rule_rows(texted(mined(spark, sf_dir, fixture).rules))
 
 
 _rules_query("association_rules", CATEGORIES)
@@ -302,16 +313,13 @@ def temporal_confidence(spark, sf_dir):
 
 @query(
     "temporal_preview",
-    f"""WITH {TEMPORAL_SQL}, m AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY antecedent, consequent ORDER BY month) AS i FROM monthly)
+    f"""WITH {TEMPORAL_SQL}, m AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY antecedent, consequent ORDER BY month) AS i,
+      month || ': ' || CAST(CAST(round(CAST(confidence AS DECIMAL(18,10)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS figure FROM monthly)
     SELECT antecedent, consequent, COUNT(*) AS n_months,
-      STRING_AGG(month, ', ' ORDER BY month) FILTER (i <= 6) AS first_months FROM m GROUP BY 1, 2""",
+      STRING_AGG(figure, ', ' ORDER BY month) FILTER (i <= 6) AS preview FROM m GROUP BY 1, 2""",
 )
 def temporal_preview(spark, sf_dir):
-    """The months of the preview; its two-decimal figures fall on rounding ties and stay out of the comparison."""
-    out = rl.temporal_preview(_temporal(spark, sf_dir))
-    return out.select(
-        "antecedent", "consequent", "n_months", F.regexp_replace("preview", r": \d\.\d\d", "").alias("first_months")
-    )
+    return rl.temporal_preview(_temporal(spark, sf_dir))
 
 
 @query(

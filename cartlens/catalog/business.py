@@ -29,14 +29,14 @@ perf AS (SELECT cluster, n.name AS segment, customer_count, total_revenue, total
   FROM tot JOIN aov USING (cluster) JOIN cm USING (cluster) JOIN rm USING (cluster) JOIN (SELECT cluster, name FROM named) n USING (cluster))"""
 
 _STRATEGY_ROWS = ", ".join(
-    "('{segment}', '{focus}', {t}, {k}, {b})".format(
-        t=len(s["tactics"]), k=len(s["kpis"]), b=float(s["budget"].rstrip("%")) / 100, **{x: s[x] for x in ("segment", "focus")}
+    "('{segment}', '{focus}', '{t}', '{k}', {b})".format(
+        t="; ".join(s["tactics"]).replace("'", "''"), k="; ".join(s["kpis"]).replace("'", "''"), b=float(s["budget"].rstrip("%")) / 100, **{x: s[x] for x in ("segment", "focus")}
     )
     for s in biz.STRATEGIES
 )
 _RATE_ROWS = ", ".join(f"('{n}', {lift}, {keep})" for n, lift, keep in biz.RATES)
 ROI_SQL = f"""{PERFORMANCE_SQL},
-strat AS (SELECT * FROM (VALUES {_STRATEGY_ROWS}) AS t(segment, focus, n_tactics, n_kpis, budget_share)),
+strat AS (SELECT * FROM (VALUES {_STRATEGY_ROWS}) AS t(segment, focus, tactics, kpis, budget_share)),
 rate AS (SELECT * FROM (VALUES {_RATE_ROWS}) AS t(segment, revenue_lift, retention_improvement)),
 roi AS (SELECT cluster, segment, total_revenue AS current_revenue, total_revenue * revenue_lift AS projected_increase,
     (SELECT SUM(total_revenue) FROM perf) * 0.05 * budget_share AS marketing_budget,
@@ -138,13 +138,13 @@ def executive_summary(spark, sf_dir):
 @query(
     "strategies",
     f"""WITH {ROI_SQL} SELECT p.cluster, p.segment, p.customer_count, ROUND(p.total_revenue, 1) AS total_revenue,
-    ROUND(p.revenue_per_customer, 4) AS revenue_per_customer, s.focus, n_tactics, n_kpis,
+    ROUND(p.revenue_per_customer, 4) AS revenue_per_customer, s.focus, tactics, kpis,
     ROUND(budget_share, 4) AS budget_share FROM perf p JOIN strat s USING (segment)""",
 )
 def strategies(spark, sf_dir):
     out = biz.strategies(performance(spark, sf_dir)).select(
         "cluster", "segment", "customer_count", "total_revenue", "revenue_per_customer", "focus",
-        F.size("tactics").alias("n_tactics"), F.size("kpis").alias("n_kpis"), "budget_share",
+        F.array_join("tactics", "; ").alias("tactics"), F.array_join("kpis", "; ").alias("kpis"), "budget_share",
     )
     return rounded(out, total_revenue=1, revenue_per_customer=4, budget_share=4)
 

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cartlens.catalog import tables
-from cartlens.catalog.baskets import CATEGORIES, mined, rules_sql, texted
+from cartlens.catalog.baskets import CATEGORIES, METRICS_SQL, mined, rule_rows, rules_sql, texted
 from cartlens.catalog.business import PERF_COLUMNS, PERF_DIGITS, PERFORMANCE_SQL, _perf_cols, performance
 from cartlens.catalog.clusters import LABELLED_SQL
 from cartlens.catalog.features import DIGITS, _cols
@@ -47,25 +47,46 @@ def write_customer_segments(spark, sf_dir):
     return rounded(results.read_latest(spark, base, "customer_segments").drop("run_ts"), **DIGITS)
 
 
-_RULE_COLS = "atext AS antecedents, ctext AS consequents, ROUND(support, 9) AS support, ROUND(confidence, 9) AS confidence, ROUND(lift, 9) AS lift"
+RULES = f"WITH {rules_sql(*CATEGORIES)} {METRICS_SQL}"
 
 
-def _rule_rows(df):
-    return rounded(df.select("antecedents", "consequents", "support", "confidence", "lift"), support=9, confidence=9, lift=9)
-
-
-@query("write_rules", f"WITH {rules_sql(*CATEGORIES)} SELECT {_RULE_COLS} FROM rules")
+@query("write_rules", RULES)
 def write_rules(spark, sf_dir):
     base = folder(spark)
     results.write_rules(mined(spark, sf_dir, CATEGORIES).rules, base, STAMP)
-    return _rule_rows(texted(results.read_latest(spark, base, "association_rules")))
+    return rule_rows(texted(results.read_latest(spark, base, "association_rules").drop("run_ts")))
 
 
-@query("read_results_csv", f"WITH {rules_sql(*CATEGORIES)} SELECT {_RULE_COLS} FROM rules")
+def _read_query(kind, sql, write, table, shape):
+    @query(f"read_results_{kind}", sql)
+    def run(spark, sf_dir):
+        """Written as text in two runs and read back: the newer one, every column, no line rejected."""
+        base = folder(spark)
+        rows = table(spark, sf_dir)
+        write(rows.limit(1), base, "20240101_000000", "csv")
+        write(rows, base, STAMP, "csv")
+        back = results.read_latest(spark, base, kind, "csv")
+        return shape(back.where(F.col(results.REJECTED).isNull()).drop("run_ts", results.REJECTED))
+
+
+_read_query(
+    "association_rules", RULES, results.write_rules, lambda spark, sf_dir: mined(spark, sf_dir, CATEGORIES).rules, lambda df: rule_rows(df)
+)
+_read_query(
+    "customer_segments", f"WITH {LABELLED_SQL} SELECT {_cols(*FEATURE_COLUMNS)}, cluster FROM labelled", results.write_customer_segments,
+    tables.labelled, lambda df: rounded(df, **DIGITS),
+)
+_read_query(
+    "segment_performance", f"WITH {PERFORMANCE_SQL} SELECT {_perf_cols(*PERF_COLUMNS)} FROM perf", results.write_segment_performance,
+    performance, lambda df: rounded(df, **PERF_DIGITS),
+)
+
+
+@query("read_results_csv", RULES)
 def read_results_csv(spark, sf_dir):
     base = folder(spark)
     results.write_rules(mined(spark, sf_dir, CATEGORIES).rules, base, STAMP, "csv")
-    return _rule_rows(results.read_results_csv(spark, f"{base}/association_rules"))
+    return rule_rows(results.read_results_csv(spark, f"{base}/association_rules", "association_rules").drop("run_ts", results.REJECTED))
 
 
 @query("write_segment_performance", f"WITH {PERFORMANCE_SQL} SELECT {_perf_cols(*PERF_COLUMNS)} FROM perf")
@@ -86,6 +107,12 @@ def write_cluster_centers(spark, sf_dir):
     return rounded(out, **{c: 4 for c in FEATURES})
 
 
+_read_query(
+    "cluster_centers", f"WITH {LABELLED_SQL} SELECT cluster, {_MEANS} FROM labelled GROUP BY cluster", results.write_cluster_centers,
+    lambda spark, sf_dir: clustering.cluster_centers(tables.labelled(spark, sf_dir)), lambda df: rounded(df, **{c: 4 for c in FEATURES}),
+)
+
+
 def _scale_query(name, scale, sql):
     @query(
         name,

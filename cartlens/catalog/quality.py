@@ -87,40 +87,37 @@ def impute_mean(spark, sf_dir):
     )
 
 
-@query(
-    "impute_mode",
-    f"""{DIRTY}, mc AS (SELECT category FROM dirty WHERE category IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1),
-    ms AS (SELECT segment FROM dirty WHERE segment IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)
-    SELECT COALESCE(category, (SELECT category FROM mc), 'Unknown') AS category,
-      COALESCE(segment, (SELECT segment FROM ms), 'Unknown') AS segment,
-      COUNT(*) AS n FROM dirty GROUP BY 1, 2""",
+_MODES = ", ".join(
+    f"m_{c} AS (SELECT {c} FROM dirty WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)" for c in TEXT_COLUMNS
 )
+_FILLED = ", ".join(f"COALESCE({c}, (SELECT {c} FROM m_{c}), 'Unknown') AS {c}" for c in TEXT_COLUMNS)
+
+
+@query("impute_mode", f"{DIRTY}, {_MODES} SELECT {_FILLED}, COUNT(*) AS n FROM dirty GROUP BY ALL")
 def impute_mode(spark, sf_dir):
-    filled = quality.impute_mode(tables.dirty(spark, sf_dir), ["category", "segment"])
-    return filled.groupBy("category", "segment").agg(F.count(F.lit(1)).alias("n"))
+    filled = quality.impute_mode(tables.dirty(spark, sf_dir), TEXT_COLUMNS)
+    return filled.groupBy(*TEXT_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "remaining_missing",
-    f"{DIRTY}, p AS ({_NULLS}) SELECT CAST(SUM(CASE WHEN column_name = 'customer_id' THEN n_null ELSE 0 END) AS BIGINT) "
-    "AS missing_values, COUNT(*) FILTER (column_name = 'customer_id' AND n_null > 0) AS columns_with_missing FROM p",
+    f"{DIRTY}, p AS ({_NULLS}) SELECT CAST(SUM(CASE WHEN kind = 'date' THEN n_null ELSE 0 END) AS BIGINT) "
+    "AS missing_values, COUNT(*) FILTER (kind = 'date' AND n_null > 0) AS columns_with_missing FROM p",
 )
 def remaining_missing(spark, sf_dir):
     fact = tables.dirty(spark, sf_dir).select(*PROFILED)
-    filled = quality.impute_mode(quality.impute_mean(fact, NUMERIC_COLUMNS), ["category", "segment"])
-    return quality.remaining_missing(filled)
+    return quality.remaining_missing(quality.impute_mode(quality.impute_mean(fact, NUMERIC_COLUMNS), TEXT_COLUMNS))
 
 
 @query(
     "duplicate_stats",
-    f"""WITH {FACTS_SQL}, g AS (SELECT segment, category, quantity, COUNT(*) AS n FROM facts GROUP BY ALL)
+    f"""WITH {FACTS_SQL}, g AS (SELECT *, COUNT(*) AS n FROM facts GROUP BY ALL)
     SELECT CAST(SUM(n) AS BIGINT) AS n_rows, COUNT(*) AS unique_rows,
       CAST(SUM(n) - COUNT(*) AS BIGINT) AS duplicate_rows,
       ROUND((SUM(n) - COUNT(*)) * 100.0 / SUM(n), 6) AS duplicate_pct FROM g""",
 )
 def duplicate_stats(spark, sf_dir):
-    narrow = tables.facts(spark, sf_dir).select("segment", "category", "quantity")
-    return rounded(quality.duplicate_stats(narrow), duplicate_pct=6)
+    return rounded(quality.duplicate_stats(tables.facts(spark, sf_dir)), duplicate_pct=6)
 
 
 @query(
@@ -165,20 +162,15 @@ def distinct_values(spark, sf_dir):
     return quality.distinct_values(tables.facts(spark, sf_dir))
 
 
+_LINES = [c for c in FACT_COLUMNS if c not in ("customer_id", "order_date", *NUMERIC_COLUMNS)]
+
+
 @query(
     "clean_facts",
-    f"""{DIRTY} SELECT TRIM(customer_id) AS customer_id, COUNT(*) AS n_lines, COUNT(DISTINCT order_id) AS n_orders,
-      ROUND(SUM(quantity), 4) AS quantity, ROUND(SUM(sales), 2) + 0.0 AS sales,
-      CAST(MIN(order_date) AS VARCHAR) AS first_date
-    FROM dirty WHERE customer_id IS NOT NULL AND quantity > 0 AND sales > 0 GROUP BY 1""",
+    f"""{DIRTY} SELECT TRIM(customer_id) AS customer_id, CAST(order_date AS VARCHAR) AS order_date, {", ".join(_LINES)},
+      {", ".join(f"ROUND({c}, 4) AS {c}" for c in NUMERIC_COLUMNS)}
+    FROM dirty WHERE customer_id IS NOT NULL AND quantity > 0 AND sales > 0""",
 )
 def clean(spark, sf_dir):
-    return (
-        clean_facts(tables.dirty(spark, sf_dir))
-        .groupBy("customer_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"), F.countDistinct("order_id").alias("n_orders"),
-            r(F.sum("quantity"), 4).alias("quantity"), r(F.sum("sales"), 2).alias("sales"),
-            F.min("order_date").cast("string").alias("first_date"),
-        )
-    )
+    lines = clean_facts(tables.dirty(spark, sf_dir)).withColumn("order_date", F.col("order_date").cast("string"))
+    return rounded(lines.select("customer_id", "order_date", *_LINES, *NUMERIC_COLUMNS), **{c: 4 for c in NUMERIC_COLUMNS})
