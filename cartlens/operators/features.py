@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartlens.session import checkpointed
+
 # The eight features that clustering uses, in their fixed order.
 CLUSTERING_FEATURES = [
     "recency", "frequency", "monetary", "avg_order_value",
@@ -25,21 +27,24 @@ def reference_date(facts: DataFrame) -> DataFrame:
     return facts.agg(F.date_add(F.max("order_date"), 1).alias("reference_date"))
 
 
-def _reference(facts: DataFrame, given: date | None) -> Column:
-    return F.lit(given) if given is not None else reference_date(facts).scalar()
+def _with_recency(customers: DataFrame, as_of: date | None) -> DataFrame:
+    """``customers`` with the days since ``last_order``, up to ``as_of`` or the day after the last order of all.
+
+    That day comes from the customers, which are written down for it, one row each: the order lines are read once.
+    """
+    if as_of is None:
+        customers = checkpointed(customers)
+    day = F.lit(as_of) if as_of is not None else customers.agg(F.date_add(F.max("last_order"), 1)).scalar()
+    return customers.withColumn("recency", F.datediff(day, F.col("last_order")).cast("long"))
 
 
 def rfm_base(facts: DataFrame, as_of: date | None = None) -> DataFrame:
-    return (
-        facts.groupBy("customer_id")
-        .agg(
-            F.max("order_date").alias("last_order"),
-            F.countDistinct("order_id").alias("frequency"),
-            F.sum("sales").alias("monetary"),
-        )
-        .withColumn("recency", F.datediff(_reference(facts, as_of), F.col("last_order")).cast("long"))
-        .select("customer_id", "recency", "frequency", "monetary")
+    customers = facts.groupBy("customer_id").agg(
+        F.max("order_date").alias("last_order"),
+        F.countDistinct("order_id").alias("frequency"),
+        F.sum("sales").alias("monetary"),
     )
+    return _with_recency(customers, as_of).select("customer_id", "recency", "frequency", "monetary")
 
 
 def customer_diversity(facts: DataFrame) -> DataFrame:
@@ -78,25 +83,41 @@ def customer_totals(facts: DataFrame) -> DataFrame:
     )
 
 
+# What the lines of a customer are counted by: one pass makes a row of each, keyed by the customer, the kind and the value.
+ORDERS, PRODUCTS, CATEGORIES, SUB_CATEGORIES, PLACES = range(5)
+
+
 def rfm_features(facts: DataFrame, as_of: date | None = None) -> DataFrame:
-    """All fifteen customer columns: one aggregate for the measures, one for the places, joined on the
-    key both are already partitioned by."""
-    measures = (
-        facts.groupBy("customer_id")
-        .agg(
-            F.max("order_date").alias("last_order"),
-            F.min("order_date").alias("first_order"),
-            F.countDistinct("order_id").alias("frequency"),
-            F.sum("sales").alias("monetary"),
-            F.countDistinct("product_id").alias("unique_products"),
-            F.countDistinct("category").alias("unique_categories"),
-            F.countDistinct("sub_category").alias("unique_sub_categories"),
-            F.sum("quantity").alias("total_items"),
-            F.sum("profit").alias("total_profit"),
-        )
-        .withColumn("recency", F.datediff(_reference(facts, as_of), F.col("last_order")).cast("long"))
+    """All fifteen customer columns from one pass over the lines.
+
+    Orders, products, categories and places of a customer are keys of one first aggregate, which spreads a hot customer
+    by its keys; sums and dates ride on the orders. The second aggregate has a row per customer and key to count.
+    """
+    none = F.lit(None).cast("string")
+    place = ["state", "region", "segment"]
+
+    def keyed(kind: int, column: str | None) -> Column:
+        value = none if column is None else F.col(column).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), *[(F.col(c) if column is None else none).alias(c) for c in place])
+
+    kinds = [keyed(ORDERS, "order_id"), keyed(PRODUCTS, "product_id"), keyed(CATEGORIES, "category"), keyed(SUB_CATEGORIES, "sub_category"), keyed(PLACES, None)]
+    lines = facts.select("customer_id", "order_date", "sales", "quantity", "profit", F.explode(F.array(*kinds)).alias("x"))
+    of_order = lambda c: F.sum(F.when(F.col("x.kind") == ORDERS, F.col(c))).alias(c)
+    keys = lines.groupBy("customer_id", "x.kind", "x.value", *[f"x.{c}" for c in place]).agg(
+        F.min("order_date").alias("since"), F.max("order_date").alias("until"), of_order("sales"), of_order("quantity"), of_order("profit")
+    )
+    distinct = lambda kind: F.count(F.when(F.col("kind") == kind, F.col("value")))
+    first = lambda c: F.min_by(c, F.when((F.col("kind") == PLACES) & F.col(c).isNotNull(), F.struct("since", c))).alias(c)
+    customers = keys.groupBy("customer_id").agg(
+        F.max("until").alias("last_order"), F.min("since").alias("first_order"), distinct(ORDERS).alias("frequency"),
+        F.sum("sales").alias("monetary"), distinct(PRODUCTS).alias("unique_products"), distinct(CATEGORIES).alias("unique_categories"),
+        distinct(SUB_CATEGORIES).alias("unique_sub_categories"), F.sum("quantity").alias("total_items"), F.sum("profit").alias("total_profit"),
+        first("state"), first("region"), first("segment"),
+    )
+    return (
+        _with_recency(customers, as_of)
         .withColumn("days_span", F.datediff("last_order", "first_order").cast("long"))
         .withColumn("avg_order_value", F.try_divide("monetary", "frequency"))
         .withColumn("avg_profit", F.try_divide("total_profit", "frequency"))
+        .select(*FEATURE_COLUMNS)
     )
-    return measures.join(customer_geo(facts), "customer_id").select(*FEATURE_COLUMNS)
