@@ -475,13 +475,16 @@ _high_lift_query("cross_sell_rules", 5)
 _high_lift_query("high_value_rules", 10)
 
 
-@query("mine_with_retry")
+@query(
+    "mine_with_retry",
+    f"""WITH {rules_sql("sub_category", 0.015, 0.1)} SELECT atext AS antecedents, ctext AS consequents, ROUND(support, 9) AS support,
+    ROUND(confidence, 9) AS confidence, ROUND(lift, 9) AS lift, TRUE AS retried FROM rules""",
+)
 def mine_with_retry(spark, sf_dir):
-    """Thresholds that give no rule at first and some after the retry."""
+    """Thresholds that give no rule at first and some after the retry, at half of them."""
     found = bk.mine_with_retry(lines(spark, sf_dir, "sub_category"), 0.03, 0.2)
-    return found.rules.select("antecedents", "consequents", "support", "confidence", "lift").withColumn(
-        "retried", F.lit(found.retried)
-    )
+    out = texted(found.rules.select("antecedents", "consequents", "support", "confidence", "lift"))
+    return rounded(out.withColumn("retried", F.lit(found.retried)), support=9, confidence=9, lift=9)
 
 
 @query(

@@ -267,14 +267,44 @@ def method_comparison(spark, sf_dir):
     return clustering.method_comparison(points(spark, sf_dir), 5).summary
 
 
-@query("pca_2d")
+# The two leading eigenvectors of the covariances by power iteration; the second one after taking the first out.
+def _iteration(name: str, matrix: str) -> str:
+    start = ", ".join(f"{1 + i / 10:.1f}" for i in range(len(FEATURES)))
+    return f"""{name}i AS (
+  SELECT 0 AS n, CAST([{start}] AS DOUBLE[]) AS v
+  UNION ALL
+  SELECT n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+  FROM (SELECT n, list_transform(c, lambda r: list_dot_product(r, v)) AS w FROM {name}i, {matrix} WHERE n < 1500)
+),
+{name} AS (SELECT list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) AS v,
+    list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM {name}i, {matrix} WHERE n = 1500)"""
+
+
+PCA_SQL = f"""WITH RECURSIVE {KEPT_SQL},
+m1 AS (SELECT [{", ".join("[" + ", ".join(f"COVAR_POP({a}, {b})" for b in FEATURES) + "]" for a in FEATURES)}] AS c,
+  {" + ".join(f"VAR_POP({c})" for c in FEATURES)} AS total FROM z),
+{_iteration("e1", "m1")},
+m2 AS (SELECT list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS c FROM m1, e1),
+{_iteration("e2", "m2")}"""
+_Z = "CAST([" + ", ".join(FEATURES) + "] AS DOUBLE[])"
+
+
+@query(
+    "pca_2d",
+    f"""{PCA_SQL} SELECT customer_id AS point_id, ROUND(list_dot_product({_Z}, e1.v), 5) AS pc1, ROUND(list_dot_product({_Z}, e2.v), 5) AS pc2
+    FROM z, e1, e2""",
+)
 def pca_2d(spark, sf_dir):
-    return clustering.pca_2d(points(spark, sf_dir)).points
+    return rounded(clustering.pca_2d(points(spark, sf_dir)).points, pc1=5, pc2=5)
 
 
-@query("pca_explained_variance")
+@query(
+    "pca_explained_variance",
+    f"""{PCA_SQL} SELECT CAST(1 AS INT) AS component, ROUND(e1.l / total, 6) AS explained_variance_ratio, ROUND(e1.l / total, 6) AS cumulative_ratio
+    FROM m1, e1 UNION ALL SELECT CAST(2 AS INT), ROUND(e2.l / total, 6), ROUND((e1.l + e2.l) / total, 6) FROM m1, e1, e2""",
+)
 def pca_explained_variance(spark, sf_dir):
-    return clustering.pca_2d(points(spark, sf_dir)).explained
+    return rounded(clustering.pca_2d(points(spark, sf_dir)).explained, explained_variance_ratio=6, cumulative_ratio=6)
 
 
 @query("pca_points")

@@ -77,29 +77,23 @@ def temporal_confidence(rules: DataFrame, facts: DataFrame, item_col: str = "pro
     """Monthly confidence of every one-to-one rule: of the month's orders with the antecedent, the share
     that also has the consequent. An order counts in each month its lines fall in.
 
-    Each order keeps only items that occur in these rules, so its array is bounded by the rules; counts
-    are combined per rule and month before they are shuffled.
+    Occurrences of an item and of a pair of items are counted apart, by month; only the counts meet the rules. Pairs are
+    those that occur in an order, among items of these rules.
     """
     simple = rules.filter((F.size("antecedents") == 1) & (F.size("consequents") == 1)).select(
         F.element_at("antecedents", 1).alias("antecedent"), F.element_at("consequents", 1).alias("consequent")
     )
     wanted = simple.select(F.explode(F.array("antecedent", "consequent")).alias("item")).distinct()
-    orders = (
-        basket_items(facts, item_col)
-        .join(wanted, "item", "left_semi")
-        .groupBy("order_id")
-        .agg(F.collect_list("item").alias("items"))
-    )
+    items = basket_items(facts, item_col).join(wanted, "item", "left_semi").select("order_id", "item")
     months = facts.select("order_id", month_key(F.col("order_date")).alias("month")).distinct()
-    return (
-        months.join(orders, "order_id")
-        .select("month", "items", F.explode("items").alias("antecedent"))
-        .join(simple, "antecedent")
-        .groupBy("antecedent", "consequent", "month")
-        .agg(
-            F.count(F.lit(1)).alias("n_orders"),
-            F.avg(F.array_contains("items", F.col("consequent")).cast("double")).alias("confidence"),
-        )
+    dated = items.join(months, "order_id").withColumnRenamed("item", "antecedent")
+    occurrences = dated.groupBy("antecedent", "month").agg(F.count(F.lit(1)).alias("n_orders"))
+    hits = (
+        dated.join(items.withColumnRenamed("item", "consequent"), "order_id").where("antecedent <> consequent")
+        .groupBy("antecedent", "consequent", "month").agg(F.count(F.lit(1)).alias("hits"))
+    )
+    return simple.join(occurrences, "antecedent").join(hits, ["antecedent", "consequent", "month"], "left").select(
+        "antecedent", "consequent", "month", "n_orders", (F.coalesce("hits", F.lit(0)) / F.col("n_orders")).alias("confidence")
     )
 
 
