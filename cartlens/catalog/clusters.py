@@ -164,7 +164,24 @@ def dbscan_neighbours(spark, sf_dir):
     return density.neighbour_counts(pts, _eps(pts, packed), packed=packed)
 
 
-@query("dbscan")
+# Core points take the smallest core id that reaches them, round by round; a hundred rounds are more than any chain needs
+# here. A border point takes the lowest cluster among its core neighbours.
+DBSCAN_SQL = f"""WITH RECURSIVE {KEPT_SQL}, {EPS_SQL},
+near AS (SELECT a.customer_id AS u, b.customer_id AS v FROM z a, z b, eps WHERE SQRT({SUM_SQ('a', 'b')}) <= eps),
+core AS (SELECT u FROM near GROUP BY u HAVING COUNT(*) >= 5),
+links AS (SELECT u, v FROM near WHERE u IN (SELECT u FROM core) AND v IN (SELECT u FROM core)),
+heard AS (
+  SELECT 0 AS n, u, u AS root FROM core
+  UNION ALL
+  SELECT n + 1, links.u, MIN(root) FROM heard JOIN links ON links.v = heard.u WHERE n < 100 GROUP BY n, links.u
+),
+numbered AS (SELECT u, DENSE_RANK() OVER (ORDER BY root) - 1 AS cluster FROM heard WHERE n = 100),
+border AS (SELECT near.u, MIN(cluster) AS cluster FROM near JOIN numbered ON numbered.u = near.v GROUP BY near.u)
+SELECT z.customer_id AS point_id, numbered.u IS NOT NULL AS core, COALESCE(numbered.cluster, border.cluster, -1) AS cluster
+FROM z LEFT JOIN numbered ON numbered.u = z.customer_id LEFT JOIN border ON border.u = z.customer_id"""
+
+
+@query("dbscan", DBSCAN_SQL)
 def dbscan(spark, sf_dir):
     pts = points(spark, sf_dir)
     packed = density.pack(pts)
