@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["quality", "features", "overview", "clusters", "baskets", "business", "exchange"]
+MODULES = ["quality", "features", "overview", "clusters", "baskets", "business", "exchange", "analyses"]
 
 
 def load_catalog():

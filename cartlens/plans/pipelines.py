@@ -68,6 +68,7 @@ class BasketAnalysis:
     monthly: DataFrame
     trend: DataFrame
     cross_selling: DataFrame
+    cross_sell_report: DataFrame
 
     @property
     def rules(self) -> DataFrame:
@@ -89,7 +90,7 @@ def mine_baskets(
     return BasketAnalysis(
         lines, mined, baskets.basket_stats(items, min_orders), rl.recommend(mined.rules),
         rl.temporal_confidence(mined.rules, clean, item_col), rl.monthly_trend(clean),
-        rl.cross_category_rules(categories),
+        rl.cross_category_rules(categories), rl.cross_sell_report(mined.rules, clean),
     )
 
 
