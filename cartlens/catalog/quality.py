@@ -153,13 +153,10 @@ def retention_summary(spark, sf_dir):
 
 @query(
     "distinct_values",
-    f"""WITH {FACTS_SQL},
-    d AS (SELECT DISTINCT 'category' AS column_name, category AS v FROM facts
-      UNION ALL SELECT DISTINCT 'segment', segment FROM facts)
-    SELECT column_name, COUNT(*) AS n_values, STRING_AGG(v, ', ' ORDER BY v) AS value_list FROM d GROUP BY column_name""",
+    f"WITH {FACTS_SQL} " + union_all([f"SELECT DISTINCT '{c}' AS column_name, {c} AS value FROM facts WHERE {c} IS NOT NULL" for c in TEXT_COLUMNS]),
 )
 def distinct_values(spark, sf_dir):
-    return quality.distinct_values(tables.facts(spark, sf_dir))
+    return quality.distinct_values(tables.facts(spark, sf_dir), TEXT_COLUMNS)
 
 
 _LINES = [c for c in FACT_COLUMNS if c not in ("customer_id", "order_date", *NUMERIC_COLUMNS)]

@@ -37,12 +37,11 @@ def with_center(points: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def wcss(points: DataFrame, label: str = "cluster") -> DataFrame:
-    """Within-cluster sum of squares."""
-    return (
-        with_center(points, label)
-        .select(squared_distance(F.col("features"), F.col("center")).alias("d2"))
-        .agg(F.sum("d2").alias("wcss"))
-    )
+    """Within-cluster sum of squares: per label and coordinate, the rows times their variance. No point meets its centre."""
+    d = dimension(points)
+    spread = lambda i: F.var_pop(F.col("features")[i])
+    each = points.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.array(*[spread(i) for i in range(d)]).alias("spread"))
+    return each.select((F.col("n") * F.aggregate("spread", F.lit(0.0), lambda s, x: s + x)).alias("d2")).agg(F.sum("d2").alias("wcss"))
 
 
 def davies_bouldin(points: DataFrame, label: str = "cluster") -> DataFrame:

@@ -189,14 +189,8 @@ def retention_summary(facts: DataFrame) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str] = ("category", "segment")) -> DataFrame:
-    """The distinct values of each column as one sorted list; deduplicated before they are gathered."""
+    """(column_name, value) of every distinct value: a column may have as many as there are rows."""
     pairs = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in columns])).alias("x")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")
     ).select("x.*")
-    return (
-        pairs.filter("v is not null")
-        .distinct()
-        .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("n_values"), F.array_sort(F.collect_list("v")).alias("vals"))
-        .select("column_name", "n_values", F.array_join("vals", ", ").alias("value_list"))
-    )
+    return pairs.filter("value is not null").distinct()
