@@ -1,16 +1,19 @@
 """License scan with a positional index of rare words.
 
-Base labels come from phrases. Beyond them, every template (a license's notice or reference) is indexed by word and
-position. Of the license words in a file, the ones with the highest inverse document frequency, counted over the whole
-corpus, are looked up: each occurrence minus its position in the template is a place where the template may start, and
-places where several rare words agree are compared word by word. A template counts if its mandatory key phrases stand
-there and most of its words do.
+Base labels come from phrases. Beyond them, every template (a license's notice, reference or identifier) is indexed by
+word and position. Of the license words in a file, the ones with the highest inverse document frequency, counted over the
+whole corpus, are looked up: each occurrence minus its position in the template is a place where the template may start,
+and places where several rare words agree are kept. The template's mandatory key phrases propose places as well, so
+nothing hangs on the number of rare words: a template counts only where its phrases stand. At every place the words
+of the template are matched in order, with gaps, within ``SLACK`` words around it, so that inserted, missing or repeated words
+("dnl", "rem", line numbers) do not end a match.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, in ASCII lower case. Two passes over the texts,
 neither shuffles them; what is gathered, document frequencies of license words, is bounded by the templates.
 
 Defined cases: null and empty texts have no words, no labels, score 0. Rows without id, repeated rows, empty tables and
-extra columns need no special care: every row gets its own result in place.
+extra columns need no special care: every row gets its own result in place. The time of a text of any kind follows its
+length.
 """
 
 from __future__ import annotations
@@ -97,10 +100,37 @@ TEMPLATES = {
     ],
 }
 
+# Short references, and identifiers by their words behind "SPDX-License-Identifier:".
+REFERENCES = {
+    "apache-2.0": ["apache license version 2 0", "apache license 2 0"],
+    "gpl-3.0": ["gnu gpl v3", "gnu gpl version 3", "gnu general public license v3", "gplv3"],
+    "gpl-2.0": ["gnu gpl v2", "gnu gpl version 2", "gnu general public license v2", "gplv2"],
+    "lgpl": ["gnu lesser general public license", "gnu lgpl"],
+    "agpl-3.0": ["gnu affero general public license", "gnu agpl"],
+    "bsd": ["bsd 3 clause", "bsd 2 clause", "3 clause bsd license", "2 clause bsd license"],
+    "mpl-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+}
+IDENTIFIERS = {
+    "apache-2.0": ["apache 2 0"], "gpl-3.0": ["gpl 3 0"], "gpl-2.0": ["gpl 2 0"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl-3.0": ["agpl 3 0"],
+    "cc-by-4.0": ["cc by 4 0"], "cc-by-sa-4.0": ["cc by sa 4 0"], "cc-by-nc-4.0": ["cc by nc 4 0"], "mit-reference": ["mit"],
+    "bsd": ["bsd 2 clause", "bsd 3 clause"], "mpl-2.0": ["mpl 2 0"], "unlicense": ["unlicense"],
+}
+
 # Rare words of a template that are looked up in a file, and how many of them must agree about the place.
 RARE_WORDS = 6
 MIN_AGREEING = 2
 MIN_SCORE = 0.75
+# Words before and behind the expected ones among which those of the template are looked for.
+SLACK = 8
+
+
+def forms() -> list[tuple[str, str, list[str]]]:
+    """(label, words, key phrases) of all notices, references and identifiers."""
+    out = [(label, text, phrases) for label, found in TEMPLATES.items() for text, phrases in found]
+    out += [(label, text, [text]) for label, texts in REFERENCES.items() for text in texts]
+    for label, names in IDENTIFIERS.items():
+        out += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for name in names]
+    return out
 
 
 def words(text: str | None) -> list[bytes]:
@@ -113,16 +143,33 @@ def _starts(text: list[bytes], phrase: list[bytes], at: list[int]) -> list[int]:
     return [i for i in at if text[i : i + n] == phrase]
 
 
+def _stands(phrase: list[bytes], there: list[bytes]) -> bool:
+    return any(there[i : i + len(phrase)] == phrase for i in range(len(there) - len(phrase) + 1))
+
+
+def common(where: dict[bytes, list[int]], there: list[bytes]) -> int:
+    """The length of the longest common subsequence of a template, as places by word, and ``there``.
+
+    One bit per place of the template, cleared where the subsequence grows.
+    """
+    size = 1 + max((q for places in where.values() for q in places), default=-1)
+    full = (1 << size) - 1
+    open_ = full
+    for w in there:
+        if w in where:
+            hit = open_ & sum(1 << q for q in where[w])
+            open_ = ((open_ + hit) | (open_ - hit)) & full
+    return size - open_.bit_count()
+
+
 class Index:
     """The templates by word and position, with the weights of their words."""
 
     def __init__(self, frequency: dict[str, int], n_docs: int):
         self.base = {label: phrase.encode().split() for label, phrase in BASE.items()}
-        self.templates = []
-        for label, forms in TEMPLATES.items():
-            for text, phrases in forms:
-                ws = text.encode().split()
-                self.templates.append((label, ws, [p.encode().split() for p in phrases]))
+        self.templates = [
+            (label, text.encode().split(), [p.encode().split() for p in phrases]) for label, text, phrases in forms()
+        ]
         self.vocabulary = {w for _, ws, _ in self.templates for w in ws}.union(*self.base.values())
         self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w.decode(), 0))) for w in self.vocabulary}
         self.postings = []
@@ -132,6 +179,20 @@ class Index:
                 where.setdefault(w, []).append(q)
             self.postings.append(where)
 
+    def places(self, form, phrases, where, present, at, ws) -> list[int]:
+        """Where the template may start: the rare words agree about it, or a key phrase stands in its place."""
+        rare = sorted(present.intersection(where), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
+        agreeing: dict[int, int] = {}
+        for w in rare:
+            for start in {p - q for p in at(w) for q in where[w]}:
+                agreeing[start] = agreeing.get(start, 0) + 1
+        need = min(MIN_AGREEING, len(rare))
+        found = {s for s, n in agreeing.items() if n >= need}
+        for phrase in phrases:
+            shifts = [q for q in where[phrase[0]] if form[q : q + len(phrase)] == phrase]
+            found.update(p - q for p in _starts(ws, phrase, at(phrase[0])) for q in shifts)
+        return sorted(found)
+
     def scan(self, text: str | None):
         """(words, base places, first, last, base labels, labels, score) of a text."""
         ws = words(text)
@@ -157,21 +218,14 @@ class Index:
         for (label, form, phrases), where in zip(self.templates, self.postings):
             if not all(present.issuperset(p) for p in phrases):
                 continue
-            rare = sorted(present.intersection(where), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
-            agreeing: dict[int, int] = {}
-            for w in rare:
-                for start in {p - q for p in at(w) for q in where[w]}:
-                    agreeing[start] = agreeing.get(start, 0) + 1
-            need = min(MIN_AGREEING, len(rare))
-            for start in sorted(s for s, n in agreeing.items() if n >= need):
-                there = ws[max(start, 0) : start + len(form)]
-                mine = form[max(-start, 0) :]
-                share = sum(a == b for a, b in zip(there, mine)) / len(form)
-                if share >= MIN_SCORE and all(
-                    any(there[i : i + len(p)] == p for i in range(len(there) - len(p) + 1)) for p in phrases
-                ):
+            for start in self.places(form, phrases, where, present, at, ws):
+                there = ws[max(start - SLACK, 0) : max(start + len(form) + SLACK, 0)]
+                share = common(where, there) / len(form)
+                if share >= MIN_SCORE and all(_stands(p, there) for p in phrases):
                     labels.add(label)
                     score = max(score, share)
+                    if score == 1.0:
+                        break  # neither the label nor the score can change
         return len(ws), len(starts), min(starts, default=None), max(starts, default=None), base_labels, sorted(labels), score
 
 
