@@ -2,9 +2,9 @@
 
 Calls (conv_id, call_id, turn, name, arguments as JSON) and results (conv_id, call_id, turn, content) are hash-joined
 by conversation and identifier. A call depends on the calls whose identifiers stand as ``"$ref:<call_id>"`` among its
-argument values; ``level`` is one more than the largest level of those, so sorting by (conv_id, level, turn, call_id)
+argument values (not inside nested ones); ``level`` is one more than the largest level of those, so sorting by (conv_id, level, turn, call_id)
 is a topological order. Arguments are checked against the tool's schema, and each call is written as canonical JSON:
-keys sorted, no white space.
+keys sorted, no white space, equal numbers alike (1e2, 100.0 and 100 are 100). Integers of up to 38 digits stay exact.
 
 Everything is built-in expressions. Nothing gathers a conversation in one row or task: an identifier that occurs often
 is aggregated before the join, and levels come from joins on identifiers. Chains of single references are walked by
@@ -49,6 +49,40 @@ def _object(arguments: Column) -> Column:
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
 
 
+# Strings of a JSON text, once escaped signs are out of the way, and what is written differently for equal numbers.
+_STRING = '"[^"]*"'
+_LOOSE = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+
+
+def canonical_json(text: Column) -> Column:
+    """``text``, JSON as ``to_json`` writes it, with every number outside of strings in one form."""
+    # Escaped signs become control characters, which JSON texts never hold as they are.
+    masked = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    strings = F.regexp_extract_all(masked, F.lit(_STRING), F.lit(0))
+    between = F.transform(F.split(masked, _STRING, -1), _numbers)
+    joined = F.array_join(F.zip_with(between, strings, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    plain = F.replace(F.replace(joined, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.when(text.rlike(r"[0-9](?:\.[0-9]|[eE][+-]?[0-9])|-0"), plain).otherwise(text)
+
+
+def _numbers(piece: Column) -> Column:
+    """A piece of JSON without strings, its numbers in one form."""
+
+    def one(token: Column) -> Column:
+        value = token.cast("double")
+        digits = token.try_cast("decimal(38,18)")
+        short = F.regexp_replace(F.regexp_replace(digits.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        big = token.try_cast("decimal(38,0)")
+        return (
+            F.when(~token.rlike("[.eE]") & (value != 0), token)
+            .when(digits.cast("double") == value, F.when(value == 0, "0").otherwise(short))
+            .when(big.cast("double") == value, big.cast("string")).otherwise(token)
+        )
+
+    found = F.transform(F.regexp_extract_all(piece, F.lit(_LOOSE), F.lit(0)), one)
+    return F.array_join(F.zip_with(F.split(piece, _LOOSE, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def _violations(schemas: dict[str, dict[str, dict]]) -> Column:
     """The sorted violations of a call (columns name, arguments as ``args``) against the schemas of the tools."""
     checks, known = [], None
@@ -175,7 +209,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, di
         allowMissingColumns=True,
     )
     both = checkpointed(both.withColumn("args", _object(F.col("arguments")))
-                        .withColumn("arguments", F.to_json("args")).drop("args"))
+                        .withColumn("arguments", canonical_json(F.to_json("args"))).drop("args"))
     # The calls that a call refers to, among those of its conversation.
     values = F.map_values(F.from_json("arguments", "map<string,string>"))
     refs = (
