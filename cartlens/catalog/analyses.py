@@ -19,7 +19,7 @@ from cartlens.sources import results
     f"""WITH {TEMPORAL_SQL} SELECT (SELECT COUNT(*) FROM lines) AS n_lines, (SELECT COUNT(*) FROM sets) AS n_itemsets,
     (SELECT COUNT(*) FROM rules) AS n_rules, (SELECT COUNT(*) FROM monthly) AS n_rule_months,
     (SELECT COUNT(DISTINCT STRFTIME(order_date, '%Y-%m')) FROM clean) AS n_months, FALSE AS retried,
-    (SELECT COUNT(DISTINCT atext) FROM rules) AS n_products""",
+    (SELECT COUNT(DISTINCT p) FROM (SELECT UNNEST(antecedents) AS p FROM rules)) AS n_products""",
 )
 def basket_analysis(spark, sf_dir):
     """Everything that the basket pipeline bundles, counted."""

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "column_profile", "missing_summary", "numeric_describe", "rfm_features", "iqr_bounds", "boxplot_stats", "wcss",
     "association_rules", "temporal_confidence", "cross_category_rules", "segment_performance", "roi_overall",
-    "latest_snapshot",
+    "latest_snapshot", "dbscan", "pca_2d", "ward_spread", "read_results_association_rules", "basket_analysis", "complete_analysis",
 ]
 
 

@@ -23,30 +23,43 @@ SEGMENTS = [
     ("Champions", 89, 400106.97229999996, 71719.0657, 32.7421843931659, 18.69747899159664, 0.17924972736097458, 4495.583958426966),
     ("At Risk", 66, 123526.4536, 16299.422, 10.10861144947124, 13.865546218487395, 0.13195086173833134, 1871.6129333333333),
 ]
-# Fixed values. The three supports in ninths; then confidence, lift, leverage, conviction, Zhang, Jaccard,
-# certainty, Kulczynski and the strength band.
+# Fixed values. Antecedent, consequent, their supports, support, confidence, lift, representativity, leverage, conviction, Zhang,
+# Jaccard, certainty, Kulczynski, lengths, support and confidence in percent, strength.
 RULES = [
-    ((1, 3, 1), (1.0, 3.0, 2 / 27, math.inf, 0.75, 1 / 3, 1.0, 2 / 3, "Strong")),
-    ((3, 1, 1), (1 / 3, 3.0, 2 / 27, 4 / 3, 1.0, 1 / 3, 0.25, 2 / 3, "Strong")),
-    ((2, 3, 1), (0.5, 1.5, 1 / 27, 4 / 3, 3 / 7, 0.25, 0.25, 5 / 12, "Weak")),
-    ((3, 3, 1), (1 / 3, 1.0, 0.0, 1.0, 0.0, 0.2, 0.0, 1 / 3, "Weak")),
-    ((2, 2, 1), (0.5, 2.25, 5 / 81, 14 / 9, 5 / 7, 1 / 3, 5 / 14, 0.5, "Moderate")),
+    ("Staple remover", "Avery Non-Stick Binders", 0.1111111111111111, 0.3333333333333333, 0.1111111111111111, 1.0, 3.0, 1.0, 0.07407407407407407, math.inf, 0.75, 0.3333333333333333, 1.0, 0.6666666666666666, 1, 1, 11.11111111111111, 100.0, "Strong"),
+    ("Avery Non-Stick Binders", "Staple remover", 0.3333333333333333, 0.1111111111111111, 0.1111111111111111, 0.3333333333333333, 3.0, 1.0, 0.07407407407407407, 1.333333333333333, 0.9999999999999998, 0.3333333333333333, 0.25, 0.6666666666666666, 1, 1, 11.11111111111111, 33.33333333333333, "Strong"),
+    ("Avery Non-Stick Binders", "Staples in misc. colors", 0.3333333333333333, 0.1111111111111111, 0.1111111111111111, 0.3333333333333333, 3.0, 1.0, 0.07407407407407407, 1.333333333333333, 0.9999999999999998, 0.3333333333333333, 0.25, 0.6666666666666666, 1, 1, 11.11111111111111, 33.33333333333333, "Strong"),
+    ("Staples in misc. colors", "Avery Non-Stick Binders", 0.1111111111111111, 0.3333333333333333, 0.1111111111111111, 1.0, 3.0, 1.0, 0.07407407407407407, math.inf, 0.75, 0.3333333333333333, 1.0, 0.6666666666666666, 1, 1, 11.11111111111111, 100.0, "Strong"),
+    ("Avery Non-Stick Binders", "Storex Dura Pro Binders", 0.3333333333333333, 0.2222222222222222, 0.1111111111111111, 0.3333333333333333, 1.5, 1.0, 0.037037037037037035, 1.1666666666666665, 0.4999999999999999, 0.24999999999999997, 0.14285714285714285, 0.41666666666666663, 1, 1, 11.11111111111111, 33.33333333333333, "Weak"),
+    ("Storex Dura Pro Binders", "Avery Non-Stick Binders", 0.2222222222222222, 0.3333333333333333, 0.1111111111111111, 0.5, 1.5, 1.0, 0.037037037037037035, 1.3333333333333335, 0.42857142857142855, 0.24999999999999997, 0.25, 0.41666666666666663, 1, 1, 11.11111111111111, 50.0, "Weak"),
+    ("Easy-staple paper", "Staple envelope", 0.2222222222222222, 0.3333333333333333, 0.1111111111111111, 0.5, 1.5, 1.0, 0.037037037037037035, 1.3333333333333335, 0.42857142857142855, 0.24999999999999997, 0.25, 0.41666666666666663, 1, 1, 11.11111111111111, 50.0, "Weak"),
+    ("Staple envelope", "Easy-staple paper", 0.3333333333333333, 0.2222222222222222, 0.1111111111111111, 0.3333333333333333, 1.5, 1.0, 0.037037037037037035, 1.1666666666666665, 0.4999999999999999, 0.24999999999999997, 0.14285714285714285, 0.41666666666666663, 1, 1, 11.11111111111111, 33.33333333333333, "Weak"),
+    ("Easy-staple paper", "Storex Dura Pro Binders", 0.2222222222222222, 0.2222222222222222, 0.1111111111111111, 0.5, 2.25, 1.0, 0.06172839506172839, 1.5555555555555556, 0.7142857142857143, 0.3333333333333333, 0.35714285714285715, 0.5, 1, 1, 11.11111111111111, 50.0, "Moderate"),
+    ("Storex Dura Pro Binders", "Easy-staple paper", 0.2222222222222222, 0.2222222222222222, 0.1111111111111111, 0.5, 2.25, 1.0, 0.06172839506172839, 1.5555555555555556, 0.7142857142857143, 0.3333333333333333, 0.35714285714285715, 0.5, 1, 1, 11.11111111111111, 50.0, "Moderate"),
+    ("Staple envelope", "KI Adjustable-Height Table", 0.3333333333333333, 0.3333333333333333, 0.1111111111111111, 0.3333333333333333, 1.0, 1.0, 0.0, 1.0, 0.0, 0.19999999999999998, 0.0, 0.3333333333333333, 1, 1, 11.11111111111111, 33.33333333333333, "Weak"),
+    ("KI Adjustable-Height Table", "Staple envelope", 0.3333333333333333, 0.3333333333333333, 0.1111111111111111, 0.3333333333333333, 1.0, 1.0, 0.0, 1.0, 0.0, 0.19999999999999998, 0.0, 0.3333333333333333, 1, 1, 11.11111111111111, 33.33333333333333, "Weak"),
+    ("Staples", "KI Adjustable-Height Table", 0.2222222222222222, 0.3333333333333333, 0.2222222222222222, 1.0, 3.0, 1.0, 0.14814814814814814, math.inf, 0.8571428571428571, 0.6666666666666665, 1.0, 0.8333333333333333, 1, 1, 22.22222222222222, 100.0, "Strong"),
+    ("KI Adjustable-Height Table", "Staples", 0.3333333333333333, 0.2222222222222222, 0.2222222222222222, 0.6666666666666666, 3.0, 1.0, 0.14814814814814814, 2.333333333333333, 0.9999999999999998, 0.6666666666666665, 0.5714285714285714, 0.8333333333333333, 1, 1, 22.22222222222222, 66.66666666666666, "Strong"),
+    ("Logitech 910-002974 M325 Wireless Mouse for Web Scrolling", "Staple envelope", 0.1111111111111111, 0.3333333333333333, 0.1111111111111111, 1.0, 3.0, 1.0, 0.07407407407407407, math.inf, 0.75, 0.3333333333333333, 1.0, 0.6666666666666666, 1, 1, 11.11111111111111, 100.0, "Strong"),
+    ("Staple envelope", "Logitech 910-002974 M325 Wireless Mouse for Web Scrolling", 0.3333333333333333, 0.1111111111111111, 0.1111111111111111, 0.3333333333333333, 3.0, 1.0, 0.07407407407407407, 1.333333333333333, 0.9999999999999998, 0.3333333333333333, 0.25, 0.6666666666666666, 1, 1, 11.11111111111111, 33.33333333333333, "Strong"),
 ]
 
 
 def test_rule_measures(spark):
-    rows = [(i, ["a"], ["c"], a / 9, c / 9, s / 9) for i, ((a, c, s), _) in enumerate(RULES)]
+    rows = [(i, [r[0]], [r[1]], r[2], r[3], r[4]) for i, r in enumerate(RULES)]
     table = spark.createDataFrame(
         rows,
         "i int, antecedents array<string>, consequents array<string>, antecedent_support double, consequent_support double, support double",
     )
     got = rule_extras(rule_metrics(table)).orderBy("i").collect()
-    names = ["confidence", "lift", "leverage", "conviction", "zhangs_metric", "jaccard", "certainty", "kulczynski"]
-    for row, (_, want) in zip(got, RULES, strict=True):
-        for name, value in zip(names, want, strict=False):
-            assert row[name] == pytest.approx(value, abs=1e-12), name
-        assert row.lift_strength == want[-1]
-        assert row.representativity == 1.0
+    names = [
+        "confidence", "lift", "representativity", "leverage", "conviction", "zhangs_metric", "jaccard", "certainty", "kulczynski",
+        "antecedent_len", "consequent_len", "support_pct", "confidence_pct", "lift_strength",
+    ]
+    assert len(got) == 16
+    for row, rule in zip(got, RULES, strict=True):
+        for name, value in zip(names, rule[5:], strict=True):
+            assert row[name] == (value if isinstance(value, str) else pytest.approx(value, abs=1e-12)), name
 
 
 def test_persona_ladder(spark):
