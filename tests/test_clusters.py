@@ -149,3 +149,43 @@ def test_sweep_fit_and_components(spark):
     ratio = [r.explained_variance_ratio for r in parts.explained.orderBy("component").collect()]
     assert ratio[0] >= ratio[1] >= 0 and sum(ratio) == pytest.approx(1.0)
     assert clustering.hierarchical_clusters(points, 4).select("cluster").distinct().count() == 4
+
+
+def test_distance_sums_keep_small_distances():
+    """Copies and near copies far from the origin: the sums of a matrix product agree with direct differences."""
+    rng = np.random.default_rng(5)
+    for offset in (0.0, 1e3):
+        a = offset + np.concatenate([rng.normal(size=(90, 8)), np.zeros((60, 8))])
+        b = np.concatenate([a[::-1] + 1e-7, a, np.full((40, 8), offset)])
+        member = np.eye(3)[np.arange(len(b)) % 3]
+        direct = gaps(np.concatenate([a, b]))[: len(a), len(a) :]
+        assert np.array_equal(distances(a, b), direct) or distances(a, b) == pytest.approx(direct, rel=1e-12)
+        assert blocks.distance_sums(a, b, member) == pytest.approx(direct @ member, rel=1e-8)
+    same = np.full((70, 8), 1234.5678)
+    assert not blocks.distance_sums(same, same, np.ones((70, 1))).any()
+
+
+def test_distances_are_quick_enough_for_all_pairs():
+    """A pair of full blocks: the sums cost less than half of direct differences over the whole square at once."""
+    from time import perf_counter
+
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 2048, 32))
+    member = np.eye(5)[np.arange(2048) % 5]
+
+    def seconds(work):
+        best = np.inf
+        for _ in range(3):
+            began = perf_counter()
+            work()
+            best = min(best, perf_counter() - began)
+        return best
+
+    def at_once():
+        total = np.zeros((len(a), len(b)))
+        for axis in range(a.shape[1]):
+            gap = a[:, axis, None] - b[None, :, axis]
+            total += gap * gap
+        return np.sqrt(total) @ member
+
+    assert seconds(lambda: blocks.distance_sums(a, b, member)) < seconds(at_once) / 2
