@@ -106,3 +106,34 @@ def test_cross_category_treats_empty_sets_as_disjoint(spark):
     categories = spark.createDataFrame([("a", "k1"), ("b", "k1"), ("c", "k2")], "item string, category string")
     kept = rl.cross_category_rules(rl.rule_categories(rules, categories)).collect()
     assert sorted(r.consequents[0] for r in kept) == ["c", "y"]
+
+
+def test_pairs_need_no_trees(spark, monkeypatch):
+    """Without three items that are frequent in pairs no tree is grown; with them, the trees see only their orders."""
+    def itemsets(orders, support):
+        rows = [(str(o), i) for o, items in enumerate(orders) for i in items]
+        found = bk.frequent_itemsets(spark.createDataFrame(rows, "order_id string, item string"), support).collect()
+        return {tuple(r["items"]): (r["size"], r["freq"], r["support"]) for r in found}
+
+    def by_hand(orders, support):
+        items, out = sorted(set().union(*orders)), {}
+        for size in range(1, len(items) + 1):
+            for some in combinations(items, size):
+                freq = sum(set(some) <= set(o) for o in orders)
+                if freq and freq / len(orders) >= support:
+                    out[some] = (size, freq, freq / len(orders))
+        return out
+
+    seen = []
+    grow = bk.FPGrowth
+
+    class Watched(grow):
+        def fit(self, data):
+            seen.append(data.count())
+            return super().fit(data)
+
+    monkeypatch.setattr(bk, "FPGrowth", Watched)
+    chain = [["a", "b"], ["b", "c"], ["c", "d"]] * 5 + [["a", "b", "c", "d"]]
+    assert itemsets(chain, 0.2) == by_hand(chain, 0.2) and not seen
+    dense = [["a", "b", "c", "d"]] * 4 + [["a", "b", "c"]] * 3 + [["d", "e"]] * 6 + [["f"]] * 3
+    assert itemsets(dense, 0.2) == by_hand(dense, 0.2) and seen == [7]
