@@ -189,3 +189,20 @@ def test_distances_are_quick_enough_for_all_pairs():
         return np.sqrt(total) @ member
 
     assert seconds(lambda: blocks.distance_sums(a, b, member)) < seconds(at_once) / 2
+
+
+def test_near_blocks_are_tight_and_points_travel_alone(spark):
+    """Blocks are leaves of a tree over all regions; a point visits only the boxes within its own bound."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.uniform(0, 1, (3000, 2)), [[50.0, 50.0]], np.full((1500, 2), 0.25)])
+    packed = blocks.pack_blocks(table(spark, x).withColumn("tags", F.array(F.lit(0).cast("long"))), 8)
+    rows = packed.collect()
+    assert sum(r.n for r in rows) == len(x) and max(r.n for r in rows) <= 8 and len({r.block for r in rows}) == len(rows)
+    area = np.median([np.prod(np.subtract(r.hi, r.lo)) for r in rows if r.hi != r.lo])
+    assert area < 0.02
+    visits = blocks.meet(
+        packed, density._nearest_start, lambda state, own, p, square, least: square < (state * state)[p],
+        lambda host, ask: pd.DataFrame({"points": [len(ask.positions)]}), "points long",
+    ).agg(F.sum("points")).head()[0]
+    # The far point asks most blocks; the others a few each, the copies none.
+    assert visits < 3000 * 8 + len(rows)
