@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -206,3 +208,15 @@ def test_near_blocks_are_tight_and_points_travel_alone(spark):
     ).agg(F.sum("points")).head()[0]
     # The far point asks most blocks; the others a few each, the copies none.
     assert visits < 3000 * 8 + len(rows)
+
+
+def test_components_of_a_long_chain_keep_small_estimates(spark, capsys):
+    """Every round joins the last one's result; the planner's estimate of its size must not multiply from round to round."""
+    n = 60
+    nodes = spark.createDataFrame([(i, f"{(i * 37) % n:03d}") for i in range(n)], "node int, first_id string")
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "u int, v int")
+    out = density.connected_components(nodes, links)
+    assert {r.root for r in out.collect()} == {"000"}
+    out.explain("cost")
+    sizes = re.findall(r"sizeInBytes=([0-9.E+]+) (\w+)", capsys.readouterr().out)
+    assert sizes and all(unit in ("B", "KiB") for _, unit in sizes)

@@ -1,5 +1,7 @@
 """Ward's linkage against merging the cheapest pair again and again, over many blocks and rounds."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,15 @@ def test_few_points(spark):
     assert linkage.ward_linkage(table(spark, np.zeros((0, 2)))).collect() == []
     assert linkage.ward_linkage(table(spark, np.zeros((1, 2)))).collect() == []
     assert [r.cluster for r in linkage.cut(table(spark, np.zeros((1, 2))), linkage.ward_linkage(table(spark, np.zeros((1, 2)))), 1).collect()] == [0]
+
+
+def test_last_clusters_need_no_matrix():
+    """The finishing task holds a few rows of costs at a time, and measures no cluster twice without need."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    tracemalloc.start()
+    merges = linkage.merged_locally([f"{i:04d}" for i in range(n)], rng.normal(size=(n, 3)), np.ones(n), rng.integers(-(2**62), 2**62, n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) == n - 1 and merges["absorbed"].is_unique
+    assert peak < 4 * n * n
