@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.exprs import lift_band
@@ -45,10 +45,18 @@ def item_orders(items: DataFrame) -> DataFrame:
     return items.groupBy("item").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """``df`` kept, and computed at once: a join then plans with its real size instead of a guess, and the lines that meet
+    a short list of items are neither shuffled nor sorted by item."""
+    df = reused(df)
+    df.count()
+    return df
+
+
 def prune_rare_items(items: DataFrame, min_orders: int = MIN_ORDERS) -> DataFrame:
     """Lines of items that occur in at least ``min_orders`` orders."""
-    kept = item_orders(items).filter(F.col("n_orders") >= min_orders)
-    return items.join(kept.select("item"), "item", "left_semi").select("order_id", "item")
+    kept = measured(item_orders(items).filter(F.col("n_orders") >= min_orders).select("item"))
+    return items.join(kept, "item", "left_semi").select("order_id", "item")
 
 
 def basket_stats(items: DataFrame, min_orders: int = MIN_ORDERS) -> DataFrame:
@@ -71,10 +79,11 @@ def basket_stats(items: DataFrame, min_orders: int = MIN_ORDERS) -> DataFrame:
 
 
 def multi_item_lines(items: DataFrame, min_orders: int = MIN_ORDERS) -> DataFrame:
-    """Kept lines of the orders with more than one kept item."""
-    kept = prune_rare_items(items, min_orders)
-    several = kept.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept.join(several.select("order_id"), "order_id", "left_semi")
+    """Kept lines of the orders with more than one kept item. The lines move once, to their order, and stay there for
+    the baskets made of them."""
+    several = F.count(F.lit(1)).over(Window.partitionBy("order_id"))
+    kept = prune_rare_items(items, min_orders).filter("order_id IS NOT NULL")
+    return kept.withColumn("n", several).filter("n > 1").select("order_id", "item")
 
 
 def multi_item_baskets(items: DataFrame, min_orders: int = MIN_ORDERS) -> DataFrame:
@@ -106,7 +115,7 @@ def frequent_itemsets(lines: DataFrame, min_support: float = MIN_SUPPORT) -> Dat
     if n == 0:
         return spark.createDataFrame([], ITEMSET_SCHEMA)
     count = minimum_count(min_support, n)
-    singles = reused(lines.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= count))
+    singles = measured(lines.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= count))
     kept = lines.join(singles.select("item"), "item", "left_semi")
     pairs = reused(frequent_pairs(as_baskets(kept).select("items"), count))
     found = singles.select(F.array("item").alias("items"), "freq").unionByName(pairs.select(F.array("a", "b").alias("items"), "freq"))
