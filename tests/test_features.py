@@ -59,3 +59,26 @@ def test_features_by_hand(spark):
         }
         assert got == expected
     assert features.rfm_features(df.where(F.lit(False))).collect() == []
+
+
+def _lines(spark):
+    rows = [(f"c{n % 7 if n % 2 else 0}" if n % 11 else None, f"o{n % 37}", DAY + timedelta(days=n * 7 % 90), float(n % 13), 1.0, 2.0, f"p{n % 61}", f"k{n % 4}",
+             f"s{n % 11}", f"state{n % 6}", "r", "g") for n in range(400)]
+    return spark.createDataFrame(
+        rows, "customer_id string, order_id string, order_date date, sales double, quantity double, profit double, product_id string, "
+        "category string, sub_category string, state string, region string, segment string",
+    )
+
+
+def test_lines_move_once(spark):
+    """To their customer; neither of the two aggregates there has a shuffle of its own."""
+    assert plan(features.rfm_features(_lines(spark), DAY)).count("\nArguments: hashpartitioning(") == 1
+
+
+def test_customers_of_many_lines_are_spread(spark, monkeypatch):
+    """The customers with more lines than one task should take, a null one among them, have the same figures."""
+    usual = features.rfm_features(_lines(spark), DAY).orderBy("customer_id").collect()
+    monkeypatch.setattr(features, "HOT_LINES", 35)
+    spread = features.rfm_features(_lines(spark), DAY)
+    assert plan(spread).count("\nArguments: hashpartitioning(") > 1
+    assert spread.orderBy("customer_id").collect() == usual and len(usual) == 8
