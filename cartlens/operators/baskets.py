@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.exprs import lift_band
-from cartlens.session import reused
+from cartlens.session import reused, written
 
 # Thresholds of the basket analysis.
 MIN_ORDERS = 15
@@ -45,17 +45,13 @@ def item_orders(items: DataFrame) -> DataFrame:
     return items.groupBy("item").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """``df`` kept, and computed at once: a join then plans with its real size instead of a guess, and the lines that meet
-    a short list of items are neither shuffled nor sorted by item."""
-    df = reused(df)
-    df.count()
-    return df
-
-
 def prune_rare_items(items: DataFrame, min_orders: int = MIN_ORDERS) -> DataFrame:
-    """Lines of items that occur in at least ``min_orders`` orders."""
-    kept = measured(item_orders(items).filter(F.col("n_orders") >= min_orders).select("item"))
+    """Lines of items that occur in at least ``min_orders`` orders.
+
+    The items are written first: the join then plans with their real size, and the lines that meet a short list are
+    neither shuffled nor sorted by item.
+    """
+    kept = written(item_orders(items).filter(F.col("n_orders") >= min_orders).select("item"))
     return items.join(kept, "item", "left_semi").select("order_id", "item")
 
 
@@ -115,9 +111,9 @@ def frequent_itemsets(lines: DataFrame, min_support: float = MIN_SUPPORT) -> Dat
     if n == 0:
         return spark.createDataFrame([], ITEMSET_SCHEMA)
     count = minimum_count(min_support, n)
-    singles = measured(lines.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= count))
+    singles = written(lines.groupBy("item").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= count))
     kept = lines.join(singles.select("item"), "item", "left_semi")
-    pairs = reused(frequent_pairs(as_baskets(kept).select("items"), count))
+    pairs = written(frequent_pairs(as_baskets(kept).select("items"), count))
     found = singles.select(F.array("item").alias("items"), "freq").unionByName(pairs.select(F.array("a", "b").alias("items"), "freq"))
     several = reused(triangle_items(pairs))
     if not several.isEmpty():
