@@ -220,3 +220,64 @@ def test_components_of_a_long_chain_keep_small_estimates(spark, capsys):
     out.explain("cost")
     sizes = re.findall(r"sizeInBytes=([0-9.E+]+) (\w+)", capsys.readouterr().out)
     assert sizes and all(unit in ("B", "KiB") for _, unit in sizes)
+
+
+@pytest.mark.parametrize("local", [clustering.LOCAL_VALUES, 0])
+def test_fits_moved_together_end_as_the_library_ends_them(spark, cloud, monkeypatch, local):
+    """Every fit, alone in a task or by passes over the rows, has the centres and the cost of the library's own fit."""
+    from pyspark.ml.clustering import KMeans
+
+    monkeypatch.setattr(clustering, "LOCAL_VALUES", local)
+    monkeypatch.setattr(clustering, "PASS_ROWS", 100)
+    rows = clustering.vectors(table(spark, cloud)).localCheckpoint()
+    for k in (2, 4):
+        best = min(
+            (KMeans(k=k, seed=clustering.SEED + i, maxIter=clustering.MAX_ITERATIONS, featuresCol="vector").fit(rows) for i in range(2)),
+            key=lambda m: m.summary.trainingCost,
+        )
+        got = clustering.fit_kmeans_many(rows, [k], 2)[k]
+        assert got.wcss == pytest.approx(best.summary.trainingCost, rel=1e-9)
+        assert np.array(clustering.ordered_centers(got.model)) == pytest.approx(np.array(clustering.ordered_centers(best)))
+
+
+def test_a_pass_serves_all_fits(spark, cloud, monkeypatch):
+    """The jobs follow the longest fit, not the sum of all iterations."""
+    monkeypatch.setattr(clustering, "LOCAL_VALUES", 0)
+    starts = [cloud[i : i + k] for k in (2, 3) for i in range(0, 120, 15)]
+    passes = []
+    own = clustering.iterated
+    monkeypatch.setattr(clustering, "iterated", lambda step, *rest: own(lambda *a: passes.append(1) or step(*a), *rest))
+    clustering.moved_together(clustering.vectors(table(spark, cloud)).localCheckpoint(), starts, 4)
+    assert len(passes) <= 4
+
+
+def test_ties_and_centres_without_points():
+    x = np.array([[0.0, 0.0], [1.0, 0.0], [1.0, 0.0]])
+    sums, costs = clustering.nearest_sums(x, [np.array([[[0.0, 0.0], [0.0, 0.0], [9.0, 9.0]]])])
+    assert sums.tolist() == [[2.0, 0.0, 3.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]] and costs.tolist() == [2.0]
+
+
+def test_a_distance_is_taken_once_for_its_two_points(spark, cloud):
+    """Sums both ways from one set of distances; no pair of blocks meets twice, whatever the tiles."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(300, 8)) + 50, np.concatenate([rng.normal(size=(200, 8)) + 50, np.full((50, 8), 50.0)])
+    a[:7] = b[-1]
+    of_a, of_b = rng.random((300, 2)), rng.random((250, 3))
+    for_a, for_b = blocks.mutual_sums(a, b, of_a, of_b)
+    assert for_a == pytest.approx(distances(a, b) @ of_b, rel=1e-8) and for_b == pytest.approx(distances(a, b).T @ of_a, rel=1e-8)
+
+    packed = blocks.pack_blocks(table(spark, cloud).withColumn("tags", F.array(F.lit(0).cast("long"))), 20, near=False)
+    n = packed.count()
+
+    def fold(state, own, other):
+        state += 1.0
+
+    def mutual(state, own, other_state, other):
+        assert own.number != other.number
+        state += 1.0
+        other_state += 1.0
+
+    finish = lambda state, own: pd.DataFrame({"point_id": own.ids, "met": state[:, 0]})
+    for side in (1, 4, None):
+        met = blocks.fold_all(packed, lambda own: np.zeros((len(own.x), 1)), fold, finish, "point_id string, met double", side, mutual)
+        assert {r.met for r in met.collect()} == {float(n)}
