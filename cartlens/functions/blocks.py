@@ -35,9 +35,15 @@ NEAR_ROWS = 512
 REGION_BLOCKS = 32
 REGION_ROOM = 4
 SAMPLE_PER_LEAF, SAMPLE_ROWS = 200, 200_000
+# Blocks that a task hosts, the number of such tasks up to which adaptive execution sizes them, points that ask a block in one
+# go, and answers to such that leave a task together.
+TASK_BLOCKS, FEW_TASKS, ASK_POINTS, ANSWER_FRAMES = 32, 16, 4096, 64
 # Rows of a strip of distances, and the share of the spread under which a square from a matrix product is not trusted.
 STRIP_ROWS = 64
 CLOSE = 1e-6
+# Rows of a strip of squares between near blocks, the share of the spread by which these are wrong at most (a thousand times
+# what products of some ten terms lose), and the share of pairs up to which they are measured one by one.
+NEAR_STRIP, ROUNDING, FEW = 256, 1e-12, 16
 BLOCK_SCHEMA = "block long, n int, ids array<string>, x binary, tags binary, lo array<double>, hi array<double>"
 
 
@@ -206,6 +212,57 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``distances(a, b)[p, q]``, to the last bit."""
+    total = np.zeros(len(p))
+    for axis in range(a.shape[1]):
+        side = a[p, axis] - b[q, axis]
+        total += side * side
+    return np.sqrt(total, out=total)
+
+
+def near_squares(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[slice, np.ndarray | None, np.ndarray | None]]:
+    """Squared distances of strips of ``a`` by one matrix product, and by how much those of a row may be wrong at most; neither
+    where the numbers are too large or missing."""
+    shift = b.mean(axis=0) if len(b) else np.zeros(a.shape[1])
+    moved, b = a - shift, b - shift
+    a2, b2 = (moved * moved).sum(axis=1), (b * b).sum(axis=1)
+    left = np.concatenate([moved, a2[:, None], np.ones((len(a), 1))], axis=1)
+    right = np.concatenate([-2.0 * b.T, np.ones((1, len(b))), b2[None]])
+    wrong = ROUNDING * (a2 + b2.max(initial=0.0))
+    for at in range(0, len(a), NEAR_STRIP):
+        part = slice(at, at + NEAR_STRIP)
+        yield (part, left[part] @ right, wrong[part]) if np.isfinite(wrong[part]).all() else (part, None, None)
+
+
+def within(a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
+    """``distances(a, b) <= radius``; only pairs too close to the radius for the matrix product are measured one by one."""
+    out = np.empty((len(a), len(b)), dtype=bool)
+    for part, square, wrong in near_squares(a, b):
+        if square is not None:
+            slack = (wrong + ROUNDING * radius * radius)[:, None]
+            near = np.less_equal(square, radius * radius + slack, out=out[part])
+            p, q = np.nonzero(near & (square >= radius * radius - slack))
+            if len(p) <= near.size // FEW:
+                near[p, q] = pair_distances(a[part], b, p, q) <= radius
+                continue
+        out[part] = distances(a[part], b) <= radius
+    return out
+
+
+def nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``distances(a, b).min(axis=1)``; only the pairs that may be the nearest are measured one by one."""
+    out = np.full(len(a), np.inf)
+    for part, square, wrong in near_squares(a, b):
+        if square is not None:
+            p, q = np.nonzero(square <= (square.min(axis=1) + 2 * wrong)[:, None])
+            if len(p) <= square.size // FEW + len(square):
+                np.minimum.at(out[part], p, pair_distances(a[part], b, p, q))
+                continue
+        out[part] = distances(a[part], b).min(axis=1)
+    return out
+
+
 def distance_sums(a: np.ndarray, b: np.ndarray, member: np.ndarray) -> np.ndarray:
     """``distances(a, b) @ member``, with the squares of a strip from one matrix product.
 
@@ -279,14 +336,33 @@ class Ask:
         self.tags = np.frombuffer(row.tags, dtype=np.int64).reshape(len(self.positions), -1)
 
 
+class Asks:
+    """Several asks of one block as one: their points one after another, and where each ask begins and the last one ends."""
+
+    __slots__ = ("parts", "starts", "x", "tags")
+
+    def __init__(self, parts: list[Ask]):
+        self.parts = parts
+        self.starts = np.cumsum([0, *(len(a.positions) for a in parts)])
+        self.x, self.tags = np.concatenate([a.x for a in parts]), np.concatenate([a.tags for a in parts])
+
+
+def _dealt(stream: DataFrame, key: str, count: int) -> DataFrame:
+    """``stream`` by ``key``: few blocks are left to adaptive execution, of many a task takes ``TASK_BLOCKS``."""
+    tasks = -(-count // TASK_BLOCKS)
+    return stream.repartition(tasks, key) if tasks > FEW_TASKS else stream.repartition(key)
+
+
 def meet(
     blocks: DataFrame,
     start: Callable[[Block], Any],
     wanted: Callable[..., np.ndarray],
-    answer: Callable[[Block, Ask], pd.DataFrame],
+    answer: Callable[[Block, Ask], pd.DataFrame] | None,
     schema: str,
+    answers: Callable[[Block, Asks], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """Points visit the other blocks that may matter to them; ``answer`` makes rows of a block and the points that came.
+    """Points visit the other blocks that may matter to them; ``answer`` makes rows of a block and the points that came,
+    ``answers`` those of several asks in one go.
 
     ``wanted(state, own, positions, square, least)`` says which of the own block's points want to visit a box at that
     squared distance whose smallest first tag is ``least``; the arrays broadcast. It must not grow with the distance.
@@ -325,16 +401,28 @@ def meet(
     asks = each_block(blocks, asks_of, "other long, own long, positions binary, x binary, tags binary")
     hosts = blocks.select(F.col("block").alias("other"), F.lit(0).alias("kind"), "n", "x", "tags")
     guests = asks.withColumn("kind", F.lit(1))
-    stream = hosts.unionByName(guests, allowMissingColumns=True).repartition("other").sortWithinPartitions("other", "kind", "own")
+    stream = _dealt(hosts.unionByName(guests, allowMissingColumns=True), "other", len(boxes)).sortWithinPartitions("other", "kind", "own")
+    every = answers or (lambda host, asks: pd.concat([answer(host, ask) for ask in asks.parts]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host = None
+        host, held, points, found = None, [], 0, []
         for batch in batches:
             for row in batch.assign(ids=None).itertuples(index=False):
+                if held and (row.kind == 0 or points >= ASK_POINTS):
+                    found.append(every(host, Asks(held)))
+                    held, points = [], 0
                 if row.kind == 0:
                     host = Block(row._replace(n=int(row.n)))
                 else:
-                    yield answer(host, Ask(row._replace(own=int(row.own))))
+                    held.append(Ask(row._replace(own=int(row.own))))
+                    points += len(held[-1].positions)
+                if len(found) >= ANSWER_FRAMES:
+                    yield pd.concat(found)
+                    found = []
+        if held:
+            found.append(every(host, Asks(held)))
+        if found:
+            yield pd.concat(found)
 
     return stream.mapInPandas(run, schema)
 
@@ -343,7 +431,7 @@ def fold_near(
     blocks: DataFrame,
     start: Callable[[Block], Any],
     wanted: Callable[..., np.ndarray],
-    answer: Callable[[Block, Ask], np.ndarray],
+    answer: Callable[[Block, Asks], np.ndarray],
     merge: Callable[[Any, np.ndarray, np.ndarray], None],
     finish: Callable[[Any, Block], pd.DataFrame],
     schema: str,
@@ -351,14 +439,19 @@ def fold_near(
     """For each own block: ``start`` a state from its own points, ``merge`` in what the blocks of ``wanted`` (as in ``meet``)
     answer to its points, ``finish`` it into rows. An answer is an array with an entry for every point that asked."""
 
-    def packed(host: Block, ask: Ask) -> pd.DataFrame:
-        found = np.ascontiguousarray(answer(host, ask))
+    def packed(host: Block, asks: Asks) -> pd.DataFrame:
+        found = np.ascontiguousarray(answer(host, asks))
         kind = str(found.dtype.descr if found.dtype.names else found.dtype.str)
-        return pd.DataFrame({"own": [ask.own], "other": [host.number], "positions": [ask.positions.tobytes()], "answer": [found.tobytes()], "type": [kind]})
+        return pd.DataFrame({
+            "own": [a.own for a in asks.parts], "other": host.number, "positions": [a.positions.tobytes() for a in asks.parts],
+            "answer": [found[p:q].tobytes() for p, q in zip(asks.starts, asks.starts[1:])], "type": kind,
+        })
 
-    answers = meet(blocks, start, wanted, packed, "own long, other long, positions binary, answer binary, type string")
+    answers = meet(blocks, start, wanted, None, "own long, other long, positions binary, answer binary, type string", packed)
     own = blocks.select(F.col("block").alias("own"), "n", "ids", "x", "tags")
-    stream = own.unionByName(answers, allowMissingColumns=True).repartition("own").sortWithinPartitions("own", F.col("other").asc_nulls_first())
+    stream = _dealt(own.unionByName(answers, allowMissingColumns=True), "own", blocks.count()).sortWithinPartitions(
+        "own", F.col("other").asc_nulls_first()
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine, state = None, None

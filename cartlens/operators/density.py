@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.functions.blocks import NEAR_ROWS, Ask, Block, distances, each_block, fold_near, meet, pack_blocks
+from cartlens.functions.blocks import NEAR_ROWS, Asks, Block, distances, each_block, fold_near, meet, nearest, pack_blocks, within
 from cartlens.functions.quantiles import exact_quantiles
 from cartlens.session import checkpointed, written
 
@@ -45,8 +45,8 @@ def knn_distance(points: DataFrame, block_rows: int = NEAR_ROWS, packed: DataFra
     def wanted(state, own, positions, square, least):
         return square < (state * state)[positions] * SLACK
 
-    def answer(host: Block, ask: Ask) -> np.ndarray:
-        return distances(ask.x, host.x).min(axis=1)
+    def answer(host: Block, ask: Asks) -> np.ndarray:
+        return nearest(ask.x, host.x)
 
     def merge(state, positions, found):
         state[positions] = np.minimum(state[positions], found)
@@ -93,10 +93,10 @@ def neighbour_counts(
 
 def _counts(blocks, eps, finish, schema):
     def start(own):
-        return (distances(own.x, own.x) <= eps).sum(axis=1)
+        return np.count_nonzero(within(own.x, own.x, eps), axis=1)
 
     def answer(host, ask):
-        return (distances(ask.x, host.x) <= eps).sum(axis=1)
+        return np.count_nonzero(within(ask.x, host.x, eps), axis=1)
 
     def merge(state, positions, found):
         state[positions] += found
@@ -160,7 +160,7 @@ def dbscan(
     # Counts decide which points are core; core points are grouped inside their block at once. A group is
     # known by its block and the position of its first point; -1 marks the points that are not core.
     def own_groups(counts, own):
-        return _tag_rows(_groups(distances(own.x, own.x) <= eps, counts >= min_samples), own)
+        return _tag_rows(_groups(within(own.x, own.x, eps), counts >= min_samples), own)
 
     grouped = _retag(blocks, _counts(blocks, eps, own_groups, TAG_SCHEMA))
 
@@ -169,18 +169,25 @@ def dbscan(
     def core_wants(state, own, positions, square, least):
         return near_by(state, own, positions, square, least) & (own.tags[positions, 0] >= 0)
 
-    def link(host, ask):
+    def link(host, asks):
         rows = []
         core = np.flatnonzero(host.tags[:, 0] >= 0)
-        if ask.own < host.number and len(core):
-            a, b = np.nonzero(distances(ask.x, host.x[core]) <= eps)
-            if len(a):
-                both = np.unique(np.stack([ask.tags[a, 0], host.tags[core[b], 0]], axis=1), axis=0)
-                keep = _joining_links(both[:, 0], both[:, 1])
-                rows = [(ask.own, int(u), host.number, int(v)) for u, v in both[keep]]
+        lower = [ask for ask in asks.parts if ask.own < host.number]
+        if len(core) and lower:
+            asks = Asks(lower)
+            a, b = np.nonzero(within(asks.x, host.x[core], eps))
+            pairs = asks.tags[a, 0] << 32 | host.tags[core[b], 0]
+            ends = np.searchsorted(a, asks.starts)
+            for ask, low, high in zip(asks.parts, ends, ends[1:]):
+                if low < high:
+                    both = np.unique(pairs[low:high])
+                    mine, theirs = both >> 32, both & 0xFFFFFFFF
+                    rows += [(ask.own, int(mine[i]), host.number, int(theirs[i])) for i in _joining_links(mine, theirs)]
         return pd.DataFrame(rows, columns=["ablock", "agroup", "bblock", "bgroup"])
 
-    links = meet(grouped, lambda own: None, core_wants, link, "ablock long, agroup long, bblock long, bgroup long").select(
+    link_schema = "ablock long, agroup long, bblock long, bgroup long"
+    # Written, as they are read in both directions.
+    links = written(meet(grouped, lambda own: None, core_wants, None, link_schema, link)).select(
         F.struct(F.col("ablock").alias("block"), F.col("agroup").alias("grp")).alias("u"),
         F.struct(F.col("bblock").alias("block"), F.col("bgroup").alias("grp")).alias("v"),
     )
@@ -223,7 +230,7 @@ def dbscan(
 
     def lowest(x, host):
         core = np.flatnonzero(host.tags[:, 0] >= 0)
-        near = distances(x, host.x[core]) <= eps
+        near = within(x, host.x[core], eps)
         return np.where(near, host.tags[core, 0][None, :], unreached).min(axis=1, initial=unreached)
 
     def start(own):

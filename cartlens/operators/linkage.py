@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartlens.functions.blocks import NEAR_ROWS, Ask, Block, distances, fold_near, pack_blocks
+from cartlens.functions.blocks import FEW, NEAR_ROWS, ROUNDING, Block, distances, fold_near, near_squares, pack_blocks, pair_distances
 from cartlens.session import checkpointed, written
 
 # Clusters that one task may finish: a bounded number, whatever the input; and the rows of costs it holds at a time.
@@ -34,7 +34,11 @@ def merge_costs(gaps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """What decides ties: the same for (a, b) and (b, a), and like random for the hashes of ids."""
-    mixed = (a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) * np.uint64(0x9E3779B97F4A7C15)
+    return tie_key(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :])
+
+
+def tie_key(both: np.ndarray) -> np.ndarray:
+    mixed = both * np.uint64(0x9E3779B97F4A7C15)
     return mixed ^ (mixed >> np.uint64(29))
 
 
@@ -43,18 +47,44 @@ PARTNER = [("cost", "<f8"), ("key", "<u8"), ("block", "<i8"), ("position", "<i8"
 
 
 def _cheapest(x: np.ndarray, tags: np.ndarray, host: Block, itself: bool = False) -> np.ndarray:
-    """The cheapest partner in ``host`` of every cluster: cost, key, block and position."""
-    costs = merge_costs(distances(x, host.x), tags[:, 0].astype(float), host.tags[:, 0].astype(float))
-    keys = pair_keys(np.ascontiguousarray(tags[:, 1]), np.ascontiguousarray(host.tags[:, 1]))
-    if itself:
-        np.fill_diagonal(costs, np.inf)
-    least = costs.min(axis=1)
-    keys[costs > least[:, None]] = NONE
-    at = keys.argmin(axis=1)
+    """The cheapest partner in ``host`` of every cluster: cost, key, block and position.
+
+    Costs from squares of a matrix product leave the few partners that may be the cheapest; only these are measured.
+    """
     found = np.zeros(len(x), dtype=PARTNER)
-    found["cost"], found["key"], found["block"], found["position"] = least, keys[np.arange(len(at)), at], host.number, at
-    alone = ~np.isfinite(least)
-    found["key"][alone], found["block"][alone], found["position"][alone] = NONE, -1, -1
+    size, sizes = tags[:, 0].astype(float), host.tags[:, 0].astype(float)
+    hashes, theirs = np.ascontiguousarray(tags[:, 1]).view(np.uint64), np.ascontiguousarray(host.tags[:, 1]).view(np.uint64)
+    for part, square, wrong in near_squares(x, host.x):
+        rows, strip = np.arange(len(x))[part], found[part]
+        own = rows if itself else np.full(len(rows), -1)
+        p = q = None
+        if square is not None:
+            costs = np.divide(square, 1.0 / size[part, None] + 1.0 / sizes, out=square)
+            if itself:
+                costs[np.arange(len(rows)), own] = np.inf
+            # A cost is the square times at most the own size; the figures for the few are those of ``merge_costs``.
+            low = costs.min(axis=1)
+            p, q = np.nonzero(costs <= (low + 2 * wrong * size[part] + ROUNDING * np.abs(np.where(np.isfinite(low), low, 0.0)))[:, None])
+            if len(p) > square.size // FEW + len(rows):
+                p = None
+        if p is None:
+            # Many ties, or numbers too large for the product: all costs, of which the cheapest are left.
+            costs = merge_costs(distances(x[part], host.x), size[part], sizes)
+            if itself:
+                costs[np.arange(len(rows)), own] = np.inf
+            keys = np.where(costs > costs.min(axis=1)[:, None], NONE, tie_key(hashes[part][:, None] ^ theirs))
+            p, q = np.arange(len(rows)), keys.argmin(axis=1)
+        alone = q == own[p]
+        p, q = p[~alone], q[~alone]
+        gap = pair_distances(x[part], host.x, p, q)
+        a, b = size[part][p], sizes[q]
+        cost, key = gap * gap * (a * b / (a + b)), tie_key(hashes[part][p] ^ theirs[q])
+        order = np.lexsort((q, key, cost, p))
+        first = order[np.r_[True, np.diff(p[order]) > 0][: len(order)]]
+        strip["cost"], strip["key"], strip["block"], strip["position"] = np.inf, NONE, -1, -1
+        first = first[np.isfinite(cost[first])]
+        at = p[first]
+        strip["cost"][at], strip["key"][at], strip["block"][at], strip["position"][at] = cost[first], key[first], host.number, q[first]
     return found
 
 

@@ -281,3 +281,43 @@ def test_a_distance_is_taken_once_for_its_two_points(spark, cloud):
     for side in (1, 4, None):
         met = blocks.fold_all(packed, lambda own: np.zeros((len(own.x), 1)), fold, finish, "point_id string, met double", side, mutual)
         assert {r.met for r in met.collect()} == {float(n)}
+
+
+@pytest.mark.parametrize("kind", ["cloud", "grid", "copies", "far"])
+def test_squares_of_products_decide_as_distances_do(kind):
+    """To the last bit, also for ties, copies, points far from the origin and missing numbers."""
+    rng = np.random.default_rng(9)
+    draw = {
+        "cloud": lambda n: rng.normal(size=(n, 8)), "grid": lambda n: rng.integers(0, 3, (n, 4)).astype(float),
+        "copies": lambda n: np.ones((n, 3)), "far": lambda n: rng.normal(size=(n, 3)) + 1e6,
+    }[kind]
+    a, b = draw(300), draw(500)
+    b[:20] = a[:20]
+    for x, y in ((a, b), (np.vstack([a, [[np.nan] * a.shape[1]]]), b)):
+        d = distances(x, y)
+        for eps in (0.0, float(np.nanquantile(d, 0.02)), float(d[0, 100])):
+            assert np.array_equal(blocks.within(x, y, eps), d <= eps)
+        assert np.array_equal(blocks.nearest(x, y), d.min(axis=1), equal_nan=True)
+
+
+def test_blocks_answer_several_asks_at_once(spark, monkeypatch):
+    """Answers leave a task in a few frames, not in one for each ask, and the links are found once."""
+    rng = np.random.default_rng(10)
+    x = rng.uniform(0, 1, (600, 2))
+    asked = spark.sparkContext.accumulator(0)
+    calls = spark.sparkContext.accumulator(0)
+    packed = density.pack(table(spark, x), 20)
+
+    def answers(host, asks):
+        calls.add(1)
+        asked.add(len(asks.parts))
+        assert asks.starts[-1] == len(asks.x) == len(asks.tags)
+        return pd.DataFrame({"own": [a.own for a in asks.parts], "points": np.diff(asks.starts)})
+
+    wanted = lambda state, own, p, square, least: (p >= 0) & (square < 0.01)
+    found = blocks.meet(packed, lambda own: None, wanted, None, "own long, points long", answers).collect()
+    assert len(found) == asked.value > 3 * calls.value
+    one = blocks.meet(
+        packed, lambda own: None, wanted, lambda host, ask: pd.DataFrame({"own": [ask.own], "points": [len(ask.positions)]}), "own long, points long"
+    ).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, one))

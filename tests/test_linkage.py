@@ -1,6 +1,7 @@
 """Ward's linkage against merging the cheapest pair again and again, over many blocks and rounds."""
 
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -91,3 +92,27 @@ def test_last_clusters_need_no_matrix():
     tracemalloc.stop()
     assert len(merges) == n - 1 and merges["absorbed"].is_unique
     assert peak < 4 * n * n
+
+
+@pytest.mark.parametrize("kind", ["cloud", "grid", "copies"])
+def test_cheapest_partner_equals_all_costs(kind):
+    """Only the few partners that may be the cheapest are measured; cost, key and position are those of the whole table."""
+    rng = np.random.default_rng(11)
+    x = {"cloud": rng.normal(size=(300, 6)), "grid": rng.integers(0, 3, (300, 3)).astype(float), "copies": np.ones((300, 2))}[kind]
+    tags = np.stack([rng.integers(1, 6, 300), rng.integers(-(2**62), 2**62, 300)], axis=1)
+    host = SimpleNamespace(x=x, tags=tags, number=3)
+    measured = []
+    own = linkage.pair_distances
+    linkage.pair_distances = lambda a, b, p, q: measured.append(len(p)) or own(a, b, p, q)
+    try:
+        found = linkage._cheapest(x, tags, host, True)
+    finally:
+        linkage.pair_distances = own
+    costs = linkage.merge_costs(linkage.distances(x, x), tags[:, 0].astype(float), tags[:, 0].astype(float))
+    np.fill_diagonal(costs, np.inf)
+    keys = linkage.pair_keys(np.ascontiguousarray(tags[:, 1]), np.ascontiguousarray(tags[:, 1]))
+    keys[costs > costs.min(axis=1)[:, None]] = linkage.NONE
+    at = keys.argmin(axis=1)
+    assert np.array_equal(found["position"], at) and np.array_equal(found["cost"], costs.min(axis=1))
+    assert np.array_equal(found["key"], keys[np.arange(300), at]) and (found["block"] == 3).all()
+    assert kind == "grid" or sum(measured) < 3 * 300
