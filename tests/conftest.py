@@ -12,3 +12,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def released(request):
+    """Tables kept by one test are let go after it: one session runs them all, and its heap fills with their plans and rows."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
